@@ -37,7 +37,7 @@ def bin_index(value: Column, bounds: tuple[float, float] | None, bins: int) -> C
     if low == high:
         return F.when(value.isNotNull(), F.lit(0))
     place = F.floor((value.cast("double") - F.lit(low)) / F.lit(high - low) * F.lit(float(bins)))
-    return F.least(place.cast("int"), F.lit(bins - 1))
+    return F.when(value.isNotNull(), F.least(place.cast("int"), F.lit(bins - 1)))
 
 
 def histograms(df: DataFrame, bins: int = 10, columns: Sequence[str] | None = None) -> DataFrame:
@@ -58,7 +58,7 @@ def histograms(df: DataFrame, bins: int = 10, columns: Sequence[str] | None = No
         place = F.floor(
             F.try_divide((F.col("cum__one") - 1).cast("double"), F.col("all__one") - 1) * F.lit(float(bins))
         )
-        index = F.coalesce(F.least(place.cast("int"), F.lit(bins - 1)), F.lit(0))
+        index = F.when(F.col("all__one") > 1, F.least(place.cast("int"), F.lit(bins - 1))).otherwise(F.lit(0))
         parts.append(coded.select("feature", index.alias("bin"), "n").groupBy("feature", "bin").agg(F.sum("n").alias("n")))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
