@@ -64,16 +64,15 @@ def count_distinct_na(c: Column | str) -> Column:
     return F.count_distinct(c) + F.coalesce(F.max(c.isNull().cast("long")), F.lit(0))
 
 
-def safe_corr(x: Column | str, y: Column | str) -> Column:
-    """Pairwise-complete Pearson correlation; NULL where a side is constant."""
-    x, y = as_column(x).cast("double"), as_column(y).cast("double")
-    both = x.isNotNull() & y.isNotNull()
-    px, py = F.when(both, x), F.when(both, y)
-    return F.try_divide(F.covar_pop(px, py), F.stddev_pop(px) * F.stddev_pop(py))
-
-
-def safe_skewness(c: Column | str, na_propagate: bool = False) -> Column:
-    """Population skewness; NULL where all values are equal."""
-    c = as_column(c).cast("double")
-    value = F.when(F.max(c) > F.min(c), F.skewness(c))
-    return na_propagating(value, c, na_propagate)
+def correlation_sql(x: str, y: str) -> str:
+    """Pairwise-complete Pearson correlation of two SQL expressions; NULL where a side is constant."""
+    both = f"({x}) IS NOT NULL AND ({y}) IS NOT NULL"
+    px = f"CASE WHEN {both} THEN CAST({x} AS DOUBLE) END"
+    py = f"CASE WHEN {both} THEN CAST({y} AS DOUBLE) END"
+    return f"try_divide(covar_pop({px}, {py}), stddev_pop({px}) * stddev_pop({py}))"
+
+
+def skewness_sql(c: str, na_propagate: bool = False) -> str:
+    """Population skewness of an SQL expression; NULL where all values are equal."""
+    value = f"CASE WHEN max({c}) > min({c}) THEN skewness({c}) END"
+    return f"CASE WHEN count_if({c} IS NULL) = 0 THEN {value} END" if na_propagate else value

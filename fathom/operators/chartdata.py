@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import numeric_columns, quoted, text_columns
+from ..functions.columns import long_cells, names_sql, numeric_columns, quoted, text_columns
 from ..functions.numbers import exact_avg
 from .ordering import exact_quantiles, running_totals
 from .rank import share_within
@@ -20,9 +20,10 @@ IQR_PER_SD = 1.34
 
 def value_bounds(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float] | None]:
     """Smallest and largest value of each column, read in one pass; ``None`` if all are missing."""
-    row = df.agg(
-        *[F.min(quoted(c).cast("double")).alias(f"low{i}") for i, c in enumerate(columns)],
-        *[F.max(quoted(c).cast("double")).alias(f"high{i}") for i, c in enumerate(columns)],
+    names = names_sql(columns)
+    row = df.selectExpr(
+        *[f"CAST(min({c}) AS DOUBLE) AS low{i}" for i, c in enumerate(names)],
+        *[f"CAST(max({c}) AS DOUBLE) AS high{i}" for i, c in enumerate(names)],
     ).first()
     return {
         c: None if row[f"low{i}"] is None else (row[f"low{i}"], row[f"high{i}"]) for i, c in enumerate(columns)
@@ -49,10 +50,10 @@ def histograms(df: DataFrame, bins: int = 10, columns: Sequence[str] | None = No
     if numeric:
         bounds = value_bounds(df, numeric)
         binned = df.select(*[bin_index(quoted(c), bounds[c], bins).alias(c) for c in numeric])
-        cells = binned.unpivot([], [quoted(c) for c in numeric], "feature", "bin")
+        cells = binned.unpivot([], names_sql(numeric), "feature", "bin")
         parts.append(cells.where(F.col("bin").isNotNull()).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n")))
     if text:
-        cells = df.select(*[quoted(c) for c in text]).unpivot([], [quoted(c) for c in text], "feature", "value")
+        cells = long_cells(df, text)
         counts = cells.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
         coded = running_totals(counts.withColumn("_one", F.lit(1).cast("long")), ["feature"], "value", ["_one"])
         place = F.floor(

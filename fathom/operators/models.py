@@ -19,7 +19,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import quoted
+from ..functions.columns import name_sql, names_sql, quoted, with_expressions
 from ..session import materialise
 from .metrics import binary_leaderboard, class_metrics, regression_metrics
 from .prep import _Settings
@@ -33,11 +33,9 @@ class AddMissing(_Settings, Transformer, DefaultParamsReadable, DefaultParamsWri
     """Add absent model inputs as missing numbers, and read all inputs as doubles."""
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns(
-            {
-                c: quoted(c).cast("double") if c in df.columns else F.lit(None).cast("double")
-                for c in self["columns"]
-            }
+        have = set(df.columns)
+        return with_expressions(
+            df, {c: f"CAST({name_sql(c) if c in have else 'NULL'} AS DOUBLE)" for c in self["columns"]}
         )
 
 
@@ -204,7 +202,7 @@ def fold_predictions(
         kept_models += [m for _, m in fitted]
     result = None
     for i, model in fitted:
-        part = model.transform(df.where(F.col(fold) == i)).select(*[quoted(c) for c in keep])
+        part = model.transform(df.where(F.col(fold) == i)).select(*names_sql(keep))
         result = part if result is None else result.unionByName(part)
     return result
 
@@ -371,7 +369,7 @@ def score_long(model: PipelineModel, rows: DataFrame, key: str, inputs: Sequence
     """One (name, value) row for the prediction and for each input, per scored row."""
     scored = score(model, rows).withColumnRenamed(PREDICTED, outcome)
     names = [outcome, *[c for c in inputs if c != outcome]]
-    return lengthen(scored.select(key, *[quoted(c) for c in names]), names, "name", "value", ids=[key], cast="double")
+    return lengthen(scored.select(key, *names_sql(names)), names, "name", "value", ids=[key], cast="double")
 
 
 def scoring_rows(spark: SparkSession, rows: Sequence[Sequence[float]]) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import quoted
+from ..functions.columns import names_sql, quoted
 from ..session import materialise
 from .ordering import hashed_rank
 
@@ -107,7 +107,7 @@ def nearest_rows(
     A row is never its own neighbour.
     """
     columns = list(dict.fromkeys([*space.numeric, *space.categorical, *targets]))
-    take = [quoted(key).cast("string").alias("_key"), *[quoted(c) for c in columns]]
+    take = [quoted(key).cast("string").alias("_key"), *names_sql(columns)]
     group = F.lit("") if within is None else F.coalesce(quoted(within).cast("string"), F.lit(""))
     donors = donors.select(*take, group.alias("_group"))
     queries = queries.select(*take, group.alias("_group"))
@@ -180,14 +180,14 @@ def _assigned(rows: DataFrame, centres: pd.DataFrame, space: Space) -> DataFrame
 def _boxes(donors: DataFrame, centres: pd.DataFrame, space: Space) -> pd.DataFrame:
     """Size and bounds of each cell: at most a few thousand rows."""
     bounds = []
-    for j, c in enumerate(space.numeric):
+    for j, c in enumerate(names_sql(space.numeric)):
         bounds += [
-            F.min(quoted(c)).alias(f"low_n{j}"), F.max(quoted(c)).alias(f"high_n{j}"),
-            (F.count_if(quoted(c).isNull() | F.isnan(quoted(c).cast("double"))) > 0).alias(f"null_n{j}"),
+            F.expr(f"min({c}) AS low_n{j}"), F.expr(f"max({c}) AS high_n{j}"),
+            F.expr(f"count_if({c} IS NULL OR isnan(CAST({c} AS DOUBLE))) > 0 AS null_n{j}"),
         ]
-    for j, c in enumerate(space.categorical):
-        same = (F.min(quoted(c)) == F.max(quoted(c))) & (F.count_if(quoted(c).isNull()) == 0)
-        bounds.append(F.when(same, F.min(quoted(c))).alias(f"single_c{j}"))
+    for j, c in enumerate(names_sql(space.categorical)):
+        same = f"min({c}) = max({c}) AND count_if({c} IS NULL) = 0"
+        bounds.append(F.expr(f"CASE WHEN {same} THEN min({c}) END AS single_c{j}"))
     found = donors.groupBy("_cell", "_group").agg(F.count(F.lit(1)).alias("_rows"), *bounds)
     return found.toPandas().sort_values("_cell").reset_index(drop=True)
 

@@ -18,10 +18,12 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.util import (
     DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
 )
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import numeric_columns, quoted, text_columns
+from ..functions.columns import (
+    long_cells, name_sql, names_sql, number_literal, numeric_columns, quoted, text_columns, text_literal, with_expressions,
+)
 from ..functions.numbers import exact_avg
 from ..session import materialise
 from .neighbours import Space, nearest_rows
@@ -99,12 +101,14 @@ class KeepColumns(_Settings, Transformer, DefaultParamsReadable, DefaultParamsWr
     """Select the named columns, absent ones as missing numbers, and the excluded ones that are there."""
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        names = [c for c in dict.fromkeys([*(self["exclude"] or ()), *self["columns"]])]
-        return df.select(
+        carried = self["exclude"] or ()
+        names = dict.fromkeys([*carried, *self["columns"]])
+        have = set(df.columns)
+        return df.selectExpr(
             *[
-                quoted(c) if c in df.columns else F.lit(None).cast("double").alias(c)
+                name_sql(c) if c in have else f"CAST(NULL AS DOUBLE) AS {name_sql(c)}"
                 for c in names
-                if c in df.columns or c not in (self["exclude"] or ())
+                if c in have or c not in carried
             ]
         )
 
@@ -116,17 +120,15 @@ class ZeroVariance(_Step):
         columns = [*self.predictors(df, "numeric"), *([] if self["columns"] else self.predictors(df, "text"))]
         if not columns:
             return DropColumns(columns=[])
-        row = df.agg(
-            *[F.coalesce(F.min(quoted(c)) < F.max(quoted(c)), F.lit(False)).alias(f"v{i}") for i, c in enumerate(columns)]
+        row = df.selectExpr(
+            *[f"coalesce(min({c}) < max({c}), false) AS v{i}" for i, c in enumerate(names_sql(columns))]
         ).first()
         return DropColumns(columns=[c for i, c in enumerate(columns) if not row[f"v{i}"]])
 
 
 def value_frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """feature, n_rows, n_distinct, most and second_most: how often the commonest values occur."""
-    cells = df.select(*[quoted(c).cast("string").alias(c) for c in columns]).unpivot(
-        [], [quoted(c) for c in columns], "feature", "value"
-    )
+    cells = long_cells(df, columns, cast="string")
     counts = cells.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("feature").orderBy(F.col("n").desc(), "value")
     top = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 2)
@@ -153,7 +155,7 @@ class NearZeroVariance(_Step):
             return DropColumns(columns=[])
         found = near_zero_variance(df, columns, self["ratio"] or 95 / 5, self["distinct_percent"] or 10.0)
         dropped = [r.feature for r in found.collect()]
-        empty = df.agg(*[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+        empty = df.selectExpr(*[f"count({c}) AS n{i}" for i, c in enumerate(names_sql(columns))]).first()
         dropped += [c for i, c in enumerate(columns) if empty[f"n{i}"] == 0]
         return DropColumns(columns=sorted(set(dropped)))
 
@@ -163,8 +165,9 @@ class NearZeroVariance(_Step):
 
 class FillValues(_Fitted):
     def _transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns(
-            {c: F.coalesce(quoted(c), F.lit(v)) for c, v in self["values"].items() if c in df.columns}
+        have = set(df.columns)
+        return with_expressions(
+            df, {c: f"coalesce({name_sql(c)}, {text_literal(v)})" for c, v in self["values"].items() if c in have}
         )
 
 
@@ -180,7 +183,7 @@ class ModeImpute(_Step):
 
 def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """feature, value, n: the commonest value of each text column."""
-    cells = df.select(*[quoted(c) for c in columns]).unpivot([], [quoted(c) for c in columns], "feature", "value")
+    cells = long_cells(df, columns)
     counts = cells.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("feature").orderBy(F.col("n").desc(), "value")
     return counts.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == 1).drop("_r")
@@ -226,7 +229,7 @@ class TargetImpute(_Step):
 
 
 def _with_doubles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: quoted(c).cast("double") for c in columns}) if columns else df
+    return with_expressions(df, {c: f"CAST({name_sql(c)} AS DOUBLE)" for c in columns})
 
 
 class TargetImputeModel(_FittedWithParts):
@@ -244,7 +247,7 @@ class TargetImputeModel(_FittedWithParts):
             return df
         guessed = self.trees.transform(_with_doubles(df, self["numeric"]))
         return guessed.withColumn(target, F.coalesce(quoted(target), F.col("_guess"))).select(
-            *[quoted(c) for c in df.columns]
+            *names_sql(df.columns)
         )
 
 
@@ -257,8 +260,8 @@ class NeighbourImpute(_Step):
         text = [c for c in text_columns(df) if c not in exclude]
         targets = [c for c in (self["columns"] or numeric) if c in df.columns]
         space_columns = [c for c in numeric if c in (self["use"] or numeric)]
-        bounds = df.agg(
-            *[(F.max(quoted(c)) - F.min(quoted(c))).cast("double").alias(f"w{i}") for i, c in enumerate(space_columns)]
+        bounds = df.selectExpr(
+            *[f"CAST(max({c}) - min({c}) AS DOUBLE) AS w{i}" for i, c in enumerate(names_sql(space_columns))]
         ).first()
         model = NeighbourImputeModel(
             key=self["key"], targets=targets, numeric=space_columns,
@@ -267,7 +270,7 @@ class NeighbourImpute(_Step):
             neighbours=self["neighbours"] or 5, cell_rows=self["cell_rows"] or 20000,
         )
         keep = dict.fromkeys([self["key"], *space_columns, *model["text"], *targets])
-        model.donors = materialise(df.select(*[quoted(c) for c in keep]), "donors")
+        model.donors = materialise(df.select(*names_sql(keep)), "donors")
         return model
 
 
@@ -281,12 +284,13 @@ class NeighbourImputeModel(_FittedWithParts):
         self.donors = SparkSession.active().read.parquet(f"{path}/donors")
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        key, targets = self["key"], [c for c in self["targets"] if c in df.columns]
-        lacking = F.lit(False)
-        for c in targets:
-            lacking = lacking | quoted(c).isNull()
-        have = [c for c in (*self["numeric"], *self["text"]) if c in df.columns]
-        asked = df.where(lacking).select(*[quoted(c) for c in dict.fromkeys([key, *have, *targets])])
+        columns = df.columns
+        key, targets = self["key"], [c for c in self["targets"] if c in columns]
+        if not targets:
+            return df
+        lacking = " OR ".join(f"{c} IS NULL" for c in names_sql(targets))
+        have = [c for c in (*self["numeric"], *self["text"]) if c in columns]
+        asked = df.where(lacking).select(*names_sql(dict.fromkeys([key, *have, *targets])))
         space = Space(
             [c for c in self["numeric"] if c in have], [c for c in self["text"] if c in have], self["ranges"]
         )
@@ -295,13 +299,16 @@ class NeighbourImputeModel(_FittedWithParts):
             near.groupBy(key)
             .pivot("target", targets)
             .agg(exact_avg("value"))
-            .select(F.col(key).alias("_key"), *[quoted(c).alias(f"_fill_{c}") for c in targets])
+            .selectExpr(f"{name_sql(key)} AS _key", *[f"{name_sql(c)} AS {name_sql('_fill_' + c)}" for c in targets])
         )
+        # Searched once, however often the result is read.
+        values = materialise(values, "imputed")
         joined = df.join(values, quoted(key).cast("string") == F.col("_key"), "left")
-        return joined.select(
+        return joined.selectExpr(
             *[
-                F.coalesce(quoted(c).cast("double"), quoted(f"_fill_{c}")).alias(c) if c in targets else quoted(c)
-                for c in df.columns
+                f"coalesce(CAST({name_sql(c)} AS DOUBLE), {name_sql('_fill_' + c)}) AS {name_sql(c)}" if c in targets
+                else name_sql(c)
+                for c in columns
             ]
         )
 
@@ -309,28 +316,32 @@ class NeighbourImputeModel(_FittedWithParts):
 # --- numbers -----------------------------------------------------------------------------------
 
 
-def yeo_johnson(x: Column, power: Column | float) -> Column:
-    """The signed power transform; the logarithm where the power reaches its special values."""
-    power = power if isinstance(power, Column) else F.lit(float(power))
-    up = F.when(F.abs(power) < 1e-6, F.log1p(x)).otherwise((F.pow(x + 1.0, power) - 1.0) / F.when(F.abs(power) < 1e-6, 1.0).otherwise(power))
-    other = F.lit(2.0) - power
-    down = F.when(F.abs(other) < 1e-6, -F.log1p(-x)).otherwise(
-        -(F.pow(1.0 - x, other) - 1.0) / F.when(F.abs(other) < 1e-6, 1.0).otherwise(other)
+def yeo_johnson(x: str, power: str | float) -> str:
+    """The signed power transform as SQL text; the logarithm where the power reaches its special values."""
+    if not isinstance(power, str):
+        p = number_literal(power)
+        up = f"log1p({x})" if abs(power) < 1e-6 else f"(power({x} + 1, {p}) - 1) / {p}"
+        q = number_literal(2.0 - power)
+        down = f"-log1p(-{x})" if abs(2.0 - power) < 1e-6 else f"-(power(1 - {x}, {q}) - 1) / {q}"
+        return f"CASE WHEN {x} >= 0 THEN {up} ELSE {down} END"
+    return (
+        f"CASE WHEN {x} >= 0 AND abs({power}) < 1e-6 THEN log1p({x}) "
+        f"WHEN {x} >= 0 THEN (power({x} + 1, {power}) - 1) / {power} "
+        f"WHEN abs(2 - {power}) < 1e-6 THEN -log1p(-{x}) "
+        f"ELSE -(power(1 - {x}, 2 - {power}) - 1) / (2 - {power}) END"
     )
-    return F.when(x >= 0, up).otherwise(down)
 
 
 def power_likelihoods(df: DataFrame, candidates: dict[str, list[float]]) -> DataFrame:
     """feature, power, likelihood: every candidate power of every column in one aggregate."""
-    columns = list(candidates)
-    cells = df.select(*[quoted(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], [quoted(c) for c in columns], "feature", "x"
+    cells = long_cells(df, candidates, "x", cast="double").where("x IS NOT NULL")
+    grid = ", ".join(
+        f"{text_literal(c)}, array({', '.join(number_literal(v) for v in values)})" for c, values in candidates.items()
     )
-    grid = F.create_map(*[p for c in columns for p in (F.lit(c), F.array(*[F.lit(float(v)) for v in candidates[c]]))])
-    tried = cells.where(F.col("x").isNotNull()).withColumn("power", F.explode(grid[F.col("feature")]))
+    tried = cells.selectExpr("feature", "x", f"explode(map({grid})[feature]) AS power")
     fitted = tried.groupBy("feature", "power").agg(
         F.count(F.lit(1)).alias("n"),
-        F.var_pop(yeo_johnson(F.col("x"), F.col("power"))).alias("v"),
+        F.var_pop(F.expr(yeo_johnson("x", "power"))).alias("v"),
         F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("s"),
     )
     return fitted.where(F.col("v") > 0).select(
@@ -338,7 +349,7 @@ def power_likelihoods(df: DataFrame, candidates: dict[str, list[float]]) -> Data
     )
 
 
-def best_powers(df: DataFrame, columns: Sequence[str], passes: int = 4, points: int = 21) -> dict[str, float]:
+def best_powers(df: DataFrame, columns: Sequence[str], passes: int = 3, points: int = 25) -> dict[str, float]:
     """The most likely power of each column in [-5, 5]: a coarse grid, then finer ones around the best."""
     low = {c: POWER_LOW for c in columns}
     high = {c: POWER_HIGH for c in columns}
@@ -364,8 +375,10 @@ class PowerTransform(_Step):
 
 class PowerTransformModel(_Fitted):
     def _transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns(
-            {c: yeo_johnson(quoted(c).cast("double"), p) for c, p in self["powers"].items() if c in df.columns}
+        doubled = _with_doubles(df, [c for c in self["powers"] if c in set(df.columns)])
+        have = set(df.columns)
+        return with_expressions(
+            doubled, {c: yeo_johnson(name_sql(c), p) for c, p in self["powers"].items() if c in have}
         )
 
 
@@ -377,19 +390,21 @@ class Normalise(_Step):
         if not columns:
             return NormaliseModel(scales={})
         rows = per_column(
-            df, columns, {"m": lambda c: F.avg(c.cast("double")), "s": lambda c: F.stddev_samp(c.cast("double"))}
+            df, columns, {"m": lambda c: f"avg(CAST({c} AS DOUBLE))", "s": lambda c: f"stddev_samp(CAST({c} AS DOUBLE))"}
         ).collect()
         return NormaliseModel(scales={r.feature: [r.m, r.s] for r in rows})
 
 
 class NormaliseModel(_Fitted):
     def _transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns(
+        have = set(df.columns)
+        return with_expressions(
+            df,
             {
-                c: F.try_divide(quoted(c).cast("double") - F.lit(m), F.lit(s))
+                c: f"try_divide(CAST({name_sql(c)} AS DOUBLE) - {number_literal(m)}, {number_literal(s)})"
                 for c, (m, s) in self["scales"].items()
-                if c in df.columns and m is not None
-            }
+                if c in have and m is not None
+            },
         )
 
 
@@ -398,7 +413,7 @@ class NormaliseModel(_Fitted):
 
 def level_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """feature, value, n, share among the known values."""
-    cells = df.select(*[quoted(c) for c in columns]).unpivot([], [quoted(c) for c in columns], "feature", "value")
+    cells = long_cells(df, columns)
     counts = cells.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy("feature").agg(F.sum("n").alias("_all"))
     return counts.join(sizes, "feature").select("feature", "value", "n", (F.col("n") / F.col("_all")).alias("share"))
@@ -445,7 +460,7 @@ class NovelLevel(_Step):
     def _fit(self, df: DataFrame) -> "NovelLevelModel":
         columns = self.predictors(df, "text")
         model = NovelLevelModel(columns=columns, new=self["new"] or "new")
-        cells = df.select(*[quoted(c) for c in columns]).unpivot([], [quoted(c) for c in columns], "feature", "value")
+        cells = long_cells(df, columns)
         model.levels = materialise(cells.where(F.col("value").isNotNull()).distinct(), "levels")
         return model
 
@@ -470,7 +485,7 @@ class NovelLevelModel(_FittedWithParts):
             df = df.join(seen, quoted(c) == F.col("_seen"), "left")
             value = F.when(quoted(c).isNull() | F.col("_seen").isNotNull(), quoted(c)).otherwise(F.lit(self["new"]))
             df = df.withColumn(c, value).drop("_seen")
-        return df.select(*[quoted(c) for c in order])
+        return df.select(*names_sql(order))
 
 
 class UnknownLevel(_Settings, Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -512,19 +527,18 @@ class Dummies(_Step):
 
 class DummiesModel(_Fitted):
     def _transform(self, df: DataFrame) -> DataFrame:
-        made: dict[str, Column] = {}
-        dropped = []
+        have = df.columns
+        made: dict[str, str] = {}
         for c, levels in self["levels"].items():
-            if c not in df.columns:
+            if c not in have:
                 continue
-            dropped.append(c)
             for level in levels if self["one_hot"] else levels[1:]:
                 name = dummy_name(c, level)
-                while name in made or name in df.columns:
+                while name in made or name in have:
                     name += "_"
-                made[name] = F.when(quoted(c).isNotNull(), (quoted(c) == level).cast("double"))
-        rest = [c for c in df.columns if c not in dropped]
-        return df.select(*[quoted(c) for c in rest], *[v.alias(n) for n, v in made.items()])
+                made[name] = f"CAST({name_sql(c)} = {text_literal(level)} AS DOUBLE)"
+        rest = [c for c in have if c not in self["levels"]]
+        return df.selectExpr(*names_sql(rest), *[f"{e} AS {name_sql(n)}" for n, e in made.items()])
 
 
 # --- class balance -----------------------------------------------------------------------------

@@ -4,46 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import numeric_columns, quoted, text_columns
-from ..functions.numbers import number_text, round_half_up, safe_corr, safe_skewness, sign_label
+from ..functions.columns import as_doubles, name_sql, names_sql, numeric_columns, quoted, text_columns, text_literal
+from ..functions.numbers import correlation_sql, number_text, round_half_up, sign_label, skewness_sql
 from .ordering import dense_codes, exact_quantiles, running_totals
 from .rank import first_of_ties, numbered
 
 
-def per_column(
-    df: DataFrame, columns: Sequence[str], metrics: Mapping[str, Callable[[Column], Column]]
-) -> DataFrame:
-    """One row per column with the given aggregates, from a single pass over the rows."""
+def per_column(df: DataFrame, columns: Sequence[str], metrics: Mapping[str, Callable[[str], str]]) -> DataFrame:
+    """One row per column with the given aggregates (as SQL text), from a single pass over the rows."""
     aggregates = [
-        measure(quoted(c)).alias(f"{name}_{i}") for i, c in enumerate(columns) for name, measure in metrics.items()
+        f"{measure(name_sql(c))} AS {name}_{i}" for i, c in enumerate(columns) for name, measure in metrics.items()
     ]
     rows = [
-        F.struct(F.lit(c).alias("feature"), *[F.col(f"{name}_{i}").alias(name) for name in metrics])
+        f"struct({text_literal(c)} AS feature, " + ", ".join(f"{name}_{i} AS {name}" for name in metrics) + ")"
         for i, c in enumerate(columns)
     ]
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
-
-
-def _is_missing(df: DataFrame, name: str) -> Column:
-    c = quoted(name)
-    floating = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
-    return (c.isNull() | F.isnan(c)) if floating else c.isNull()
+    return df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def missing_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """feature, num_missing, pct_missing (a fraction), largest first."""
     columns = list(columns) if columns is not None else df.columns
-    flags = df.select(*[_is_missing(df, c).alias(c) for c in columns])
+    floating = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    is_missing = {
+        name_sql(c): f"({name_sql(c)} IS NULL" + (f" OR isnan({name_sql(c)}))" if c in floating else ")") for c in columns
+    }
     return per_column(
-        flags,
+        df,
         columns,
         {
-            "num_missing": F.count_if,
-            "pct_missing": lambda c: F.try_divide(F.count_if(c).cast("double"), F.count(F.lit(1))),
+            "num_missing": lambda c: f"count_if({is_missing[c]})",
+            "pct_missing": lambda c: f"try_divide(CAST(count_if({is_missing[c]}) AS DOUBLE), count(1))",
         },
     ).orderBy(F.col("pct_missing").desc_nulls_last(), "feature")
 
@@ -67,7 +62,7 @@ def skewness_profile(
 ) -> DataFrame:
     """feature, value: population skewness of each numeric column, largest first."""
     columns = list(columns) if columns is not None else numeric_columns(df)
-    return per_column(df, columns, {"value": lambda c: safe_skewness(c, na_propagate)}).orderBy(
+    return per_column(df, columns, {"value": lambda c: skewness_sql(c, na_propagate)}).orderBy(
         F.col("value").desc_nulls_last(), "feature"
     )
 
@@ -93,7 +88,7 @@ def with_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         codes = dense_codes(df, [], c, "_code").withColumnRenamed(c, "_value")
         df = df.join(codes, df[c] == codes["_value"], "left").drop("_value", c)
         df = df.withColumnRenamed("_code", c)
-    return df.select(*[quoted(c) for c in order])
+    return df.select(*names_sql(order))
 
 
 def _coded_target(df: DataFrame, target: str) -> DataFrame:
@@ -107,20 +102,19 @@ def correlations(df: DataFrame, target: str, remove_ties: bool = False) -> DataF
     codes are only joined to distinct values, never to rows.
     """
     df = _coded_target(df, target)
-    y = quoted(target).cast("double")
     numeric = [c for c in numeric_columns(df) if c != target]
     text = [c for c in text_columns(df) if c != target]
     parts = []
     if numeric:
-        parts.append(per_column(df, numeric, {"correlation": lambda c: safe_corr(c, y)}))
+        parts.append(per_column(df, numeric, {"correlation": lambda c: correlation_sql(c, name_sql(target))}))
     if text:
-        parts.append(_text_correlations(df.select(y.alias("_y"), *[quoted(c) for c in text]), text))
+        parts.append(_text_correlations(df.select(quoted(target).cast("double").alias("_y"), *names_sql(text)), text))
     result = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return first_of_ties(result, "correlation", "feature") if remove_ties else result
 
 
 def _text_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    cells = df.unpivot(["_y"], [quoted(c) for c in columns], "feature", "value")
+    cells = df.unpivot(["_y"], names_sql(columns), "feature", "value")
     counts = (
         cells.where(F.col("value").isNotNull())
         .groupBy("feature", "value")
@@ -182,14 +176,15 @@ def correlated_features(
 def correlation_matrix(df: DataFrame, columns: Sequence[str], group: str | None = None) -> DataFrame:
     """Upper triangle of the pairwise correlations as long rows, optionally per group."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    aggregates = [safe_corr(quoted(a), quoted(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
+    aggregates = [
+        F.expr(correlation_sql(name_sql(a), name_sql(b))).alias(f"c{i}") for i, (a, b) in enumerate(pairs)
+    ]
     keys = [group] if group else []
     rows = [
-        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"c{i}").alias("correlation"))
-        for i, (a, b) in enumerate(pairs)
+        f"struct({text_literal(a)} AS x, {text_literal(b)} AS y, c{i} AS correlation)" for i, (a, b) in enumerate(pairs)
     ]
-    wide = df.groupBy(*keys).agg(*aggregates) if keys else df.agg(*aggregates)
-    return wide.select(*keys, F.inline(F.array(*rows)))
+    wide = df.groupBy(*keys).agg(*aggregates)
+    return wide.selectExpr(*names_sql(keys), f"inline(array({', '.join(rows)}))")
 
 
 def column_summary(df: DataFrame) -> DataFrame:
@@ -201,11 +196,9 @@ def column_summary(df: DataFrame) -> DataFrame:
         moments = per_column(
             df,
             numeric,
-            {"mean": lambda c: F.avg(c.cast("double")), "sd": lambda c: F.stddev_samp(c.cast("double"))},
-        )
-        cells = df.select(*[quoted(c).cast("double").alias(c) for c in numeric]).unpivot(
-            [], [quoted(c) for c in numeric], "feature", "value"
+            {"mean": lambda c: f"avg(CAST({c} AS DOUBLE))", "sd": lambda c: f"stddev_samp(CAST({c} AS DOUBLE))"},
         )
+        cells = as_doubles(df, numeric).unpivot([], names_sql(numeric), "feature", "value")
         spread = exact_quantiles(cells, ["feature"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
         parts.append(
             moments.join(spread, "feature", "left").select(
@@ -215,7 +208,7 @@ def column_summary(df: DataFrame) -> DataFrame:
             )
         )
     if text:
-        counts = per_column(df, text, {"n_distinct": F.count_distinct})
+        counts = per_column(df, text, {"n_distinct": lambda c: f"count(DISTINCT {c})"})
         parts.append(counts.select("feature", F.lit("character").alias("type"), "n_distinct"))
     result = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
     return missing.join(result, "feature").select(

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import quoted
+from ..functions.columns import name_sql, names_sql, quoted, text_literal
 
 # A wide table with more columns than this is refused rather than planned.
 MAX_WIDE_COLUMNS = 20000
@@ -49,18 +49,20 @@ def widen(
         raise ValueError(f"names already in use: {sorted(set(names) & set(ids))}")
     value = quoted(values_from)
     wide = (
-        df.groupBy(*[quoted(c) for c in ids])
+        df.groupBy(*names_sql(ids))
         .pivot(names_from, names)
         .agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(F.lit(1)).alias("n"))
     )
 
-    def cell(name: str) -> Column:
-        low, high, n = (quoted(f"{name}_{part}") for part in ("low", "high", "n"))
-        clash = F.raise_error(F.lit(f"more than one value for {name}"))
-        single = F.when(low == high, high).when(low.isNull(), high).otherwise(clash)
-        return single if fill is None else F.when(n.isNull(), F.lit(fill)).otherwise(single)
+    def cell(name: str) -> str:
+        low, high, n = (name_sql(f"{name}_{part}") for part in ("low", "high", "n"))
+        clash = f"raise_error({text_literal('more than one value for ' + name)})"
+        single = f"CASE WHEN {low} = {high} OR {low} IS NULL THEN {high} ELSE {clash} END"
+        if fill is not None:
+            single = f"CASE WHEN {n} IS NULL THEN {fill} ELSE {single} END"
+        return f"{single} AS {name_sql(name)}"
 
-    return wide.select(*[quoted(c) for c in ids], *[cell(n).alias(n) for n in names])
+    return wide.selectExpr(*names_sql(ids), *[cell(n) for n in names])
 
 
 def lengthen(
@@ -77,8 +79,8 @@ def lengthen(
     if ids is None:
         ids = [c for c in df.columns if c not in columns]
     if cast:
-        df = df.select(*[quoted(c) for c in ids], *[quoted(c).cast(cast).alias(c) for c in columns])
-    return df.unpivot([quoted(c) for c in ids], [quoted(c) for c in columns], name, value)
+        df = df.selectExpr(*names_sql(ids), *[f"CAST({c} AS {cast}) AS {c}" for c in names_sql(columns)])
+    return df.unpivot(names_sql(ids), names_sql(columns), name, value)
 
 
 def one_wide_row(df: DataFrame, column: str, limit: int = 1000, prefix: str = "V") -> DataFrame:

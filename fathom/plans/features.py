@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +20,7 @@ from ..operators.prep import (
 from ..operators.profile import columns_to_impute, columns_to_remove, correlated_features, skewed_columns
 from ..operators.rank import share_within, top_n_with_ties
 from ..operators.reshape import widen
+from ..session import materialise
 
 TARGET_FAMILY = "Prochloraceae"
 
@@ -100,14 +101,18 @@ def fit_features(
         Dummies(exclude=exclude, one_hot=True),
         NearZeroVariance(exclude=exclude),
     ]
-    model = Pipeline(stages=stages).fit(train)
-    baked = model.transform(train).drop(key).cache()
-    try:
-        selected = correlated_features(baked, outcome, correlation)
-    finally:
-        baked.unpersist()
-    complete = PipelineModel([*model.stages, KeepColumns(columns=selected, exclude=exclude)])
-    return FeatureRecipe(complete, outcome, key, removed, imputed, skewed, selected)
+    fitted = []
+    baked = train
+    for stage in stages:
+        model = stage.fit(baked) if isinstance(stage, Estimator) else stage
+        baked = model.transform(baked)
+        fitted.append(model)
+        if isinstance(stage, (NeighbourImpute, Normalise, NearZeroVariance)):
+            # Later stages read the rows several times; the steps so far are not repeated for each.
+            baked = materialise(baked, "baked")
+    selected = correlated_features(baked.drop(key), outcome, correlation)
+    fitted.append(KeepColumns(columns=selected, exclude=exclude))
+    return FeatureRecipe(PipelineModel(fitted), outcome, key, removed, imputed, skewed, selected)
 
 
 def taxa_with_metadata(metadata: DataFrame, mapping: DataFrame, family_summary: DataFrame) -> DataFrame:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 
-from ..functions.columns import numeric_columns, quoted, text_columns
+from ..functions.columns import as_doubles, long_cells, names_sql, numeric_columns, text_columns
 from ..operators.chartdata import box_statistics, histograms
 from ..operators.profile import column_summary, correlations, missing_profile
 
 
 def principal_components(df: DataFrame, columns: list[str], k: int = 2) -> DataFrame:
     """Share of variance of the leading components of the standardised complete rows."""
-    complete = df.select(*[quoted(c).cast("double").alias(c) for c in columns]).dropna()
+    complete = as_doubles(df, columns).dropna()
     vectors = VectorAssembler(inputCols=columns, outputCol="_v").transform(complete)
     scaled = StandardScaler(inputCol="_v", outputCol="_s", withMean=True).fit(vectors).transform(vectors)
     model = PCA(k=min(k, len(columns)), inputCol="_s", outputCol="_p").fit(scaled)
@@ -24,20 +24,18 @@ def data_report(df: DataFrame, target: str, path: str, bins: int = 10) -> dict[s
     """Write the report tables below ``path`` and return them: missing values, summaries,
     histograms, correlations, box statistics of every numeric column by target, components."""
     numeric = numeric_columns(df)
-    cells = df.select(*[quoted(c).cast("double").alias(c) for c in numeric])
     tables = {
         "missing": missing_profile(df),
         "summary": column_summary(df),
-        "histograms": histograms(df.select(*[quoted(c) for c in (*numeric, *text_columns(df))]), bins),
+        "histograms": histograms(df.select(*names_sql([*numeric, *text_columns(df)])), bins),
         "correlations": correlations(df, target),
         "components": principal_components(df, [c for c in numeric if c != target]),
     }
     if target in numeric:
-        boxes = cells.unpivot([], [quoted(c) for c in numeric], "feature", "value")
+        boxes = long_cells(df, numeric, cast="double")
         tables["boxes"] = box_statistics(boxes, ["feature"], "value")
     else:
-        keyed = df.select(target, *[quoted(c).cast("double").alias(c) for c in numeric])
-        boxes = keyed.unpivot([target], [quoted(c) for c in numeric], "feature", "value")
+        boxes = as_doubles(df, numeric, [target]).unpivot([target], names_sql(numeric), "feature", "value")
         tables["boxes"] = box_statistics(boxes, ["feature", target], "value")
     written = {}
     for name, table in tables.items():
