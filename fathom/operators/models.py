@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import name_sql, names_sql, quoted, with_expressions
 from ..session import materialise
-from .metrics import binary_leaderboard, class_metrics, regression_metrics
+from .metrics import binary_leaderboard, class_metrics, regression_metrics, roc_auc
 from .prep import _Settings
 from .resample import summarise_metrics, with_folds
 from .reshape import lengthen
@@ -186,7 +186,7 @@ class Search:
 
 def fold_predictions(
     df: DataFrame, recipe: Callable[[], Pipeline], folds: Sequence[int], keep: Sequence[str], fold: str = "fold",
-    parallelism: int = 2, kept_models: list | None = None,
+    parallelism: int = 4, kept_models: list | None = None,
 ) -> DataFrame:
     """Fit on all but one fold, predict that one, for every fold; one table of the kept columns.
 
@@ -197,7 +197,7 @@ def fold_predictions(
         return i, recipe().fit(df.where(F.col(fold) != i))
 
     with ThreadPoolExecutor(parallelism) as pool:
-        fitted = list(pool.map(inheritable_thread_target(one), folds))
+        fitted = list(pool.map(inheritable_thread_target(df.sparkSession)(one), folds))
     if kept_models is not None:
         kept_models += [m for _, m in fitted]
     result = None
@@ -291,34 +291,43 @@ def with_true_probability(df: DataFrame, outcome: str, labels: Sequence, name: s
 # --- resampling and tuning ---------------------------------------------------------------------
 
 
+def fold_figures(
+    predicted: DataFrame, outcome: str, labels: Sequence, groups: Sequence[str]
+) -> DataFrame:
+    """metric and value per group of holdout predictions."""
+    figures = class_metrics(with_true_probability(predicted, outcome, labels), outcome, PREDICTED, groups, "_true")
+    if len(labels) != 2:
+        return figures
+    scored = predicted.select(
+        *groups,
+        (quoted(outcome) == F.lit(labels[1])).cast("int").alias("truth"),
+        quoted(probability_name(labels[1])).alias("score"),
+    )
+    auc = roc_auc(scored, groups).select(*groups, F.lit("roc_auc").alias("metric"), F.col("auc").alias("value"))
+    return figures.unionByName(auc)
+
+
 def fit_resamples(
     df: DataFrame, recipe: Callable[[], Pipeline], outcome: str, labels: Sequence, v: int, key: str, fold: str = "fold"
 ) -> DataFrame:
     """metric, fold, value of a classifier over given folds."""
     keep = [fold, key, outcome, PREDICTED, *[probability_name(x) for x in labels]]
     predicted = materialise(fold_predictions(df, recipe, range(v), keep, fold), "resamples")
-    with_p = with_true_probability(predicted, outcome, labels)
-    by_fold = class_metrics(with_p, outcome, PREDICTED, [fold], "_true")
-    if len(labels) == 2:
-        scored = predicted.select(
-            fold, (quoted(outcome) == F.lit(labels[1])).cast("int").alias("truth"), quoted(probability_name(labels[1])).alias("score")
-        )
-        auc = binary_leaderboard(scored, fold).select(fold, F.lit("roc_auc").alias("metric"), F.col("auc").alias("value"))
-        by_fold = by_fold.unionByName(auc)
-    return by_fold
+    return fold_figures(predicted, outcome, labels, [fold])
 
 
 def tune_penalty(
     df: DataFrame, penalties: Sequence[float], features: Sequence[str], outcome: str, labels: Sequence, v: int, key: str,
-    fold: str = "fold",
+    fold: str = "fold", parallelism: int = 4,
 ) -> DataFrame:
-    """penalty, metric, fold, value of the lasso classifier over a grid."""
-    result = None
+    """penalty, metric, fold, value of the lasso classifier over a grid; all predictions measured at once."""
+    keep = [fold, key, outcome, PREDICTED, *[probability_name(x) for x in labels]]
+    predicted = None
     for p in penalties:
         recipe = lambda p=p: model_recipe(lasso_multinomial(p), features, outcome, labels)
-        part = fit_resamples(df, recipe, outcome, labels, v, key, fold).withColumn("penalty", F.lit(float(p)))
-        result = part if result is None else result.unionByName(part)
-    return result
+        part = fold_predictions(df, recipe, range(v), keep, fold, parallelism).withColumn("penalty", F.lit(float(p)))
+        predicted = part if predicted is None else predicted.unionByName(part)
+    return fold_figures(materialise(predicted, "tuning"), outcome, labels, ["penalty", fold])
 
 
 def compare_resampling(first: DataFrame, second: DataFrame, names: tuple[str, str] = ("random", "spatial")) -> DataFrame:

@@ -172,7 +172,7 @@ def _assigned(rows: DataFrame, centres: pd.DataFrame, space: Space) -> DataFrame
                 far[rows_["_group"].to_numpy()[:, None] != owner[None, :]] = np.inf
                 best = far.argmin(axis=1)
                 cells[start : start + BATCH] = np.where(np.isinf(far.min(axis=1)), -1, best)
-            yield part.assign(_cell=cells.astype("int32"))[lambda d: d["_cell"] >= 0]
+            yield _plain(part.assign(_cell=cells.astype("int32"))[cells >= 0])
 
     return rows.mapInPandas(assign, schema)
 
@@ -211,7 +211,8 @@ def _routed(rows: DataFrame, boxes: pd.DataFrame, space: Space, targets: Sequenc
                 open_ &= rows_["_group"].to_numpy()[:, None] == owner[None, :]
                 open_ &= rows_["_cell"].to_numpy()[:, None] != ids[None, :]
                 who, where = np.nonzero(open_)
-                yield rows_.iloc[who].drop(columns=["_reach", "_found"]).assign(_cell=ids[where].astype("int32"))
+                found = rows_.iloc[who].drop(columns=["_reach", "_found"])
+                yield _plain(found.assign(_cell=ids[where].astype("int32")))
 
     return rows.mapInPandas(route, schema)
 
@@ -262,13 +263,20 @@ def _searched(
                         results.append(_best(far[np.ix_(want, have)], names[want], ids[have], k, t,
                                              offered[t].to_numpy(dtype=float)[have] if t else None))
         if not results:
-            return pd.DataFrame({"_key": [], "target": [], "donor": [], "distance": [], "value": []})
-        return pd.concat(results)
+            texts = {c: pd.Series(dtype=object) for c in ("_key", "target", "donor")}
+            return pd.DataFrame(texts | {c: pd.Series(dtype=float) for c in ("distance", "value")})
+        return _plain(pd.concat(results))
 
     schema = "_key string, target string, donor string, distance double, value double"
     return asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInPandas(search, schema)
 
 
+def _plain(rows: pd.DataFrame) -> pd.DataFrame:
+    """Text columns as plain objects, which can be handed back whatever they were cut from."""
+    texts = [c for c in rows.columns if not pd.api.types.is_numeric_dtype(rows[c])]
+    return rows.astype({c: object for c in texts})
+
+
 def _best(
     far: np.ndarray, names: np.ndarray, ids: np.ndarray, k: int, target: str | None, values: np.ndarray | None
 ) -> pd.DataFrame:

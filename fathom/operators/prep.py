@@ -16,7 +16,7 @@ from pyspark.ml.feature import Imputer, IndexToString, StringIndexer, VectorAsse
 from pyspark.ml.param import Param, Params
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.util import (
-    DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
+    DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLWritable,
 )
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,7 +75,7 @@ class _PartsReader(DefaultParamsReader):
         return instance
 
 
-class _FittedWithParts(_Settings, Model):
+class _FittedWithParts(_Settings, Model, MLWritable, MLReadable):
     """A fitted step that also keeps tables or models, saved beside its state."""
 
     def write(self):
@@ -85,9 +85,6 @@ class _FittedWithParts(_Settings, Model):
     def read(cls):
         return _PartsReader(cls)
 
-    def save(self, path: str) -> None:
-        self.write().save(path)
-
 
 # --- columns -----------------------------------------------------------------------------------
 
