@@ -191,7 +191,9 @@ def _(ws):
 
 
 def model_table(ws):
-    return ws.keep("model_table", lambda: regression_table(ws.samples, TAXA, SPECIES, keep_id=True))
+    return ws.keep(
+        "model_table", lambda: materialise(regression_table(ws.samples, TAXA, SPECIES, keep_id=True), "model-table")
+    )
 
 
 @query("k10_features")

@@ -9,11 +9,13 @@ No donor is left out: the centres steer the work, not the result.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +24,15 @@ from ..functions.columns import names_sql, quoted
 from ..session import materialise
 from .ordering import hashed_rank
 
-MAX_CELLS = 1024
-BATCH = 256
+# Executors get this module with the functions below, and need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+MAX_CELLS = 4096
+CELL_ROWS = 20000
+QUERY_ROWS = 500
+MAX_TASKS = 8192
+# Pairs compared at a time: their distances fit a processor cache.
+BATCH_PAIRS = 131072
 SLACK = 1e-9
 
 
@@ -43,26 +52,34 @@ class Space:
 
     def distances(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         total = np.zeros((len(a[0]), len(b[0])))
-        weight = np.zeros_like(total)
+        unknown = np.zeros(total.shape, dtype=np.int32)
+        gap = np.empty_like(total)
+        features = len(self.numeric) + len(self.categorical)
         for j, name in enumerate(self.numeric):
-            gap = np.abs(a[0][:, None, j] - b[0][None, :, j])
+            left, right = a[0][:, None, j], b[0][None, :, j]
+            np.subtract(left, right, out=gap)
             if self.euclidean:
-                total += gap * gap
+                total += np.square(gap, out=gap)
                 continue
+            np.abs(gap, out=gap)
+            if np.isnan(left).any() or np.isnan(right).any():
+                missing = np.isnan(gap)
+                unknown += missing
+                gap[missing] = 0.0
             width = self.ranges.get(name) or 0.0
-            gap = gap / width if width > 0 else gap * 0.0
-            known = ~np.isnan(gap)
-            total += np.where(known, gap, 0.0)
-            weight += known
+            if width > 0:
+                gap /= width
+                total += gap
         if self.euclidean:
             return np.sqrt(total)
         for j in range(len(self.categorical)):
             codes, _ = pd.factorize(np.concatenate([a[1][:, j], b[1][:, j]]))
             left, right = codes[: len(a[1]), None], codes[None, len(a[1]) :]
-            known = (left >= 0) & (right >= 0)
-            total += known & (left != right)
-            weight += known
-        return np.where(weight > 0, total / np.where(weight > 0, weight, 1.0), 1.0)
+            missing = (left < 0) | (right < 0)
+            unknown += missing
+            total += ~missing & (left != right)
+        known = features - unknown
+        return np.where(known > 0, total / np.where(known > 0, known, 1.0), 1.0)
 
     def lower_bounds(self, rows: tuple[np.ndarray, np.ndarray], boxes: pd.DataFrame) -> np.ndarray:
         """A distance that no donor of a box can fall below."""
@@ -98,7 +115,7 @@ def nearest_rows(
     k: int = 5,
     targets: Sequence[str] = (),
     within: str | None = None,
-    cell_rows: int = 20000,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """The k nearest donors of every query, ties by donor key: key, target, donor, distance, value, rank.
 
@@ -166,12 +183,11 @@ def _assigned(rows: DataFrame, centres: pd.DataFrame, space: Space) -> DataFrame
         owner = centres["_group"].to_numpy()
         for part in parts:
             cells = np.full(len(part), -1)
-            for start in range(0, len(part), BATCH):
-                rows_ = part.iloc[start : start + BATCH]
+            for start, rows_ in _batches(part, len(centres)):
                 far = space.distances(space.arrays(rows_), middle)
                 far[rows_["_group"].to_numpy()[:, None] != owner[None, :]] = np.inf
                 best = far.argmin(axis=1)
-                cells[start : start + BATCH] = np.where(np.isinf(far.min(axis=1)), -1, best)
+                cells[start : start + len(rows_)] = np.where(np.isinf(far.min(axis=1)), -1, best)
             yield _plain(part.assign(_cell=cells.astype("int32"))[cells >= 0])
 
     return rows.mapInPandas(assign, schema)
@@ -200,8 +216,7 @@ def _routed(rows: DataFrame, boxes: pd.DataFrame, space: Space, targets: Sequenc
         owner = boxes["_group"].to_numpy()
         ids = boxes["_cell"].to_numpy()
         for part in parts:
-            for start in range(0, len(part), BATCH):
-                rows_ = part.iloc[start : start + BATCH]
+            for _, rows_ in _batches(part, len(boxes)):
                 bound = space.lower_bounds(space.arrays(rows_), boxes)
                 reach = rows_["_reach"].to_numpy(dtype=float)
                 wanted = rows_[list(targets)].isna().sum(axis=1).to_numpy() if targets else np.ones(len(rows_))
@@ -225,7 +240,7 @@ def _searched(
     queries = materialise(queries, "queries")
     waiting = {r["_cell"]: r["count"] for r in queries.groupBy("_cell").count().collect()}
     donor_blocks = {int(c): -(-int(n) // cell_rows) for c, n in zip(boxes["_cell"], boxes["_rows"])}
-    query_blocks = {c: -(-n // cell_rows) for c, n in waiting.items()}
+    query_blocks = {c: -(-n // min(cell_rows, QUERY_ROWS)) for c, n in waiting.items()}
 
     def blocks(counts: dict[int, int]):
         result = F.lit(1)
@@ -251,8 +266,7 @@ def _searched(
             order = np.argsort(ids, kind="stable")
             offered, ids = offered.iloc[order], ids[order]
             there = space.arrays(offered)
-            for start in range(0, len(asked), BATCH):
-                rows_ = asked.iloc[start : start + BATCH]
+            for _, rows_ in _batches(asked, len(offered)):
                 far = space.distances(space.arrays(rows_), there)
                 names = rows_["_key"].to_numpy()
                 far[names[:, None] == ids[None, :]] = np.inf
@@ -267,10 +281,19 @@ def _searched(
             return pd.DataFrame(texts | {c: pd.Series(dtype=float) for c in ("distance", "value")})
         return _plain(pd.concat(results))
 
+    # Few bytes, much arithmetic: the number of tasks follows the blocks, not the size of the data.
+    tasks = min(2 * sum(n * donor_blocks.get(c, 0) for c, n in query_blocks.items()) + 1, MAX_TASKS)
+    asked, offered = asked.repartition(tasks, *keys), offered.repartition(tasks, *keys)
     schema = "_key string, target string, donor string, distance double, value double"
     return asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInPandas(search, schema)
 
 
+def _batches(rows: pd.DataFrame, others: int) -> Iterator[tuple[int, pd.DataFrame]]:
+    size = max(1, BATCH_PAIRS // max(others, 1))
+    for start in range(0, len(rows), size):
+        yield start, rows.iloc[start : start + size]
+
+
 def _plain(rows: pd.DataFrame) -> pd.DataFrame:
     """Text columns as plain objects, which can be handed back whatever they were cut from."""
     texts = [c for c in rows.columns if not pd.api.types.is_numeric_dtype(rows[c])]
@@ -281,17 +304,20 @@ def _best(
     far: np.ndarray, names: np.ndarray, ids: np.ndarray, k: int, target: str | None, values: np.ndarray | None
 ) -> pd.DataFrame:
     """The k smallest distances of each row; equal distances in donor order, which is ascending."""
-    order = np.argsort(far, axis=1, kind="stable")[:, :k]
-    distance = np.take_along_axis(far, order, axis=1).ravel()
-    column = order.ravel()
-    keep = np.isfinite(distance)
-    frame = pd.DataFrame(
+    last = min(k, far.shape[1]) - 1
+    reach = np.partition(far, last, axis=1)[:, last]
+    row, column = np.nonzero((far <= reach[:, None]) & np.isfinite(far))
+    distance = far[row, column]
+    order = np.lexsort((column, distance, row))
+    row, column, distance = row[order], column[order], distance[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    row, column, distance = row[keep], column[keep], distance[keep]
+    return pd.DataFrame(
         {
-            "_key": np.repeat(names, order.shape[1]),
-            "target": target or "",
+            "_key": names[row],
+            "target": np.full(len(row), target or "", dtype=object),
             "donor": ids[column],
             "distance": distance,
-            "value": np.nan if values is None else values[column],
+            "value": np.full(len(row), np.nan) if values is None else values[column],
         }
     )
-    return frame[keep]

@@ -26,7 +26,7 @@ from ..functions.columns import (
 )
 from ..functions.numbers import exact_avg
 from ..session import materialise
-from .neighbours import Space, nearest_rows
+from .neighbours import CELL_ROWS, Space, nearest_rows
 from .ordering import hashed_rank
 from .profile import per_column
 
@@ -264,7 +264,7 @@ class NeighbourImpute(_Step):
             key=self["key"], targets=targets, numeric=space_columns,
             text=[c for c in text if c in (self["use"] or text)],
             ranges={c: bounds[f"w{i}"] or 0.0 for i, c in enumerate(space_columns)},
-            neighbours=self["neighbours"] or 5, cell_rows=self["cell_rows"] or 20000,
+            neighbours=self["neighbours"] or 5, cell_rows=self["cell_rows"] or CELL_ROWS,
         )
         keep = dict.fromkeys([self["key"], *space_columns, *model["text"], *targets])
         model.donors = materialise(df.select(*names_sql(keep)), "donors")
@@ -329,41 +329,74 @@ def yeo_johnson(x: str, power: str | float) -> str:
     )
 
 
-def power_likelihoods(df: DataFrame, candidates: dict[str, list[float]]) -> DataFrame:
-    """feature, power, likelihood: every candidate power of every column in one aggregate."""
-    cells = long_cells(df, candidates, "x", cast="double").where("x IS NOT NULL")
-    grid = ", ".join(
-        f"{text_literal(c)}, array({', '.join(number_literal(v) for v in values)})" for c, values in candidates.items()
+def power_likelihoods(counts: DataFrame, candidates: dict[str, list[float]], middles: dict[str, float]) -> DataFrame:
+    """feature, power, likelihood: all candidate powers of all columns in one aggregate.
+
+    ``counts`` holds feature, x and n. Transformed values are taken relative to that of the
+    column's mean, so that their variance can be added up from weighted sums.
+    """
+    tries = len(next(iter(candidates.values())))
+    rows = [(c, middles[c], *values) for c, values in candidates.items()]
+    names = [f"p{i}" for i in range(tries)]
+    grid = counts.sparkSession.createDataFrame(rows, "_feature string, middle double, " + ", ".join(f"{p} double" for p in names))
+    # one row per column of the table
+    joined = counts.join(F.broadcast(grid), F.col("feature") == F.col("_feature"))
+    shifted = joined.selectExpr(
+        "feature", "x", "n", *names,
+        *[f"{yeo_johnson('x', p)} - {yeo_johnson('middle', p)} AS d{i}" for i, p in enumerate(names)],
     )
-    tried = cells.selectExpr("feature", "x", f"explode(map({grid})[feature]) AS power")
-    fitted = tried.groupBy("feature", "power").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.var_pop(F.expr(yeo_johnson("x", "power"))).alias("v"),
-        F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("s"),
+    sums = shifted.groupBy("feature").agg(
+        F.sum("n").cast("double").alias("n"),
+        F.sum(F.expr("n * signum(x) * log1p(abs(x))")).alias("s"),
+        *[F.expr(f"sum(n * d{i}) AS a{i}") for i in range(tries)],
+        *[F.expr(f"sum(n * d{i} * d{i}) AS b{i}") for i in range(tries)],
+        *[F.expr(f"first({p}) AS {p}") for p in names],
     )
-    return fitted.where(F.col("v") > 0).select(
-        "feature", "power", (-F.col("n") / 2.0 * F.log("v") + (F.col("power") - 1.0) * F.col("s")).alias("likelihood")
+    cells = ", ".join(f"struct(p{i} AS power, b{i} / n - a{i} * a{i} / n / n AS v)" for i in range(tries))
+    return sums.selectExpr("feature", "n", "s", f"inline(array({cells}))").where("v > 0").selectExpr(
+        "feature", "power", "-n / 2 * ln(v) + (power - 1) * s AS likelihood"
     )
 
 
-def best_powers(df: DataFrame, columns: Sequence[str], passes: int = 3, points: int = 25) -> dict[str, float]:
-    """The most likely power of each column in [-5, 5]: a coarse grid, then finer ones around the best."""
-    low = {c: POWER_LOW for c in columns}
-    high = {c: POWER_HIGH for c in columns}
+def best_powers(df: DataFrame, columns: Sequence[str], tries: Sequence[int] = (11, 9, 9)) -> dict[str, float]:
+    """The most likely power of each column in [-5, 5]: ever finer grids, then the top of a parabola.
+
+    Equal values are counted once, before the grids: columns of mostly zeros shrink to a few rows.
+    """
+    cells = long_cells(df, columns, "x", cast="double").where("x IS NOT NULL")
+    counts = materialise(cells.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n")), "values")
+    middles = {
+        r.feature: r.m
+        for r in counts.groupBy("feature").agg((F.sum(F.expr("n * x")) / F.sum("n")).alias("m"), (F.min("x") < F.max("x")).alias("varies"))
+        .where("varies").collect()
+    }
+    low = {c: POWER_LOW for c in middles}
+    high = {c: POWER_HIGH for c in middles}
     best: dict[str, float] = {}
-    for _ in range(passes):
-        candidates = {
-            c: [low[c] + (high[c] - low[c]) * i / (points - 1) for i in range(points)] for c in columns
-        }
-        rows = power_likelihoods(df, candidates).groupBy("feature").agg(F.max_by("power", "likelihood").alias("p")).collect()
-        best = {r.feature: r.p for r in rows}
-        for c in columns:
+    if not middles:
+        return best
+    for points in tries:
+        candidates = {c: [low[c] + (high[c] - low[c]) * i / (points - 1) for i in range(points)] for c in middles}
+        found: dict[str, dict[float, float]] = {}
+        for r in power_likelihoods(counts, candidates, middles).collect():
+            found.setdefault(r.feature, {})[r.power] = r.likelihood
+        for c, likelihoods in found.items():
             step = (high[c] - low[c]) / (points - 1)
-            if c in best:
-                low[c], high[c] = max(POWER_LOW, best[c] - step), min(POWER_HIGH, best[c] + step)
+            best[c] = max(likelihoods, key=lambda p: (likelihoods[p], p))
+            left, right = (likelihoods.get(p) for p in _beside(candidates[c], best[c]))
+            if points == tries[-1] and left is not None and right is not None:
+                bend = left - 2 * likelihoods[best[c]] + right
+                if bend < 0:
+                    best[c] += step * (left - right) / (2 * bend)
+            low[c], high[c] = max(POWER_LOW, best[c] - step), min(POWER_HIGH, best[c] + step)
     return best
 
 
+def _beside(values: Sequence[float], value: float) -> tuple[float | None, float | None]:
+    i = values.index(value)
+    return (values[i - 1] if i else None, values[i + 1] if i + 1 < len(values) else None)
+
+
 class PowerTransform(_Step):
     def _fit(self, df: DataFrame) -> "PowerTransformModel":
         columns = self.predictors(df, "numeric")
@@ -543,7 +576,7 @@ class DummiesModel(_Fitted):
 
 def smote(
     df: DataFrame, target: str, key: str, over_ratio: float = 1.0, neighbours: int = 5, seed: int = 1,
-    columns: Sequence[str] | None = None, cell_rows: int = 20000,
+    columns: Sequence[str] | None = None, cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Add rows between minority rows and their neighbours until each class has ``over_ratio`` times the largest.
 

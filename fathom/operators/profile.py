@@ -14,8 +14,29 @@ from .ordering import dense_codes, exact_quantiles, running_totals
 from .rank import first_of_ties, numbered
 
 
-def per_column(df: DataFrame, columns: Sequence[str], metrics: Mapping[str, Callable[[str], str]]) -> DataFrame:
-    """One row per column with the given aggregates (as SQL text), from a single pass over the rows."""
+# From this many columns on, aggregates run over (feature, value) cells: one small set of aggregates
+# for all columns instead of a generated method per column that is too long to be compiled.
+WIDE_LIMIT = 30
+
+
+def per_column(
+    df: DataFrame, columns: Sequence[str], metrics: Mapping[str, Callable[[str], str]], keep: Sequence[str] = ()
+) -> DataFrame:
+    """One row per column with the given aggregates (as SQL text), from a single pass over the rows.
+
+    ``keep`` names further columns that the aggregates use.
+    """
+    if len(columns) < WIDE_LIMIT:
+        return _aggregated_wide(df, columns, metrics)
+    kind = "double" if set(columns) <= set(numeric_columns(df)) else "string"
+    names = names_sql(columns)
+    others = [c for c in keep if c not in columns]
+    narrow = df.selectExpr(*names_sql(others), *[f"CAST({c} AS {kind}) AS {c}" for c in names])
+    cells = narrow.unpivot(names_sql(others), names, "feature", "value")
+    return cells.groupBy("feature").agg(*[F.expr(measure("value")).alias(name) for name, measure in metrics.items()])
+
+
+def _aggregated_wide(df: DataFrame, columns: Sequence[str], metrics: Mapping[str, Callable[[str], str]]) -> DataFrame:
     aggregates = [
         f"{measure(name_sql(c))} AS {name}_{i}" for i, c in enumerate(columns) for name, measure in metrics.items()
     ]
@@ -33,7 +54,7 @@ def missing_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     is_missing = {
         name_sql(c): f"({name_sql(c)} IS NULL" + (f" OR isnan({name_sql(c)}))" if c in floating else ")") for c in columns
     }
-    return per_column(
+    return _aggregated_wide(
         df,
         columns,
         {
@@ -106,7 +127,7 @@ def correlations(df: DataFrame, target: str, remove_ties: bool = False) -> DataF
     text = [c for c in text_columns(df) if c != target]
     parts = []
     if numeric:
-        parts.append(per_column(df, numeric, {"correlation": lambda c: correlation_sql(c, name_sql(target))}))
+        parts.append(per_column(df, numeric, {"correlation": lambda c: correlation_sql(c, name_sql(target))}, [target]))
     if text:
         parts.append(_text_correlations(df.select(quoted(target).cast("double").alias("_y"), *names_sql(text)), text))
     result = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

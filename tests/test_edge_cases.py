@@ -298,3 +298,13 @@ def test_one_hot_group_does_not_change_ranks(spark):
     assert found[-1].n == len(values)
     middle = (len(values) - 1) / 2
     assert found[-1].m == pytest.approx((values[int(middle)] + values[-(-len(values) // 2) if middle % 1 else int(middle)]) / 2)
+
+
+def test_many_columns_take_the_long_way_with_the_same_result(spark, monkeypatch):
+    df = spark.range(50).selectExpr("sin(id) AS a", "id * id AS b", "CASE WHEN id % 5 > 0 THEN cos(id) END AS c", "id AS y")
+    wide = rows(correlations(df, "y")) + rows(skewness_profile(df)) + rows(column_summary(df))
+    monkeypatch.setattr("fathom.operators.profile.WIDE_LIMIT", 0)
+    long = rows(correlations(df, "y")) + rows(skewness_profile(df)) + rows(column_summary(df))
+    assert [r[0] for r in wide] == [r[0] for r in long]
+    for a, b in zip(wide, long):
+        assert [v if not isinstance(v, float) else pytest.approx(v, abs=1e-9) for v in a] == list(b)
