@@ -540,12 +540,13 @@ def _(ws):
 @query(
     "a11_ordered_text",
     "SELECT experiment_id, REPLACE(STRING_AGG(name || ': ' || " + percent_sql("fraction_total_reads") + " || '%' || CHR(10), '' "
-    "ORDER BY fraction_total_reads DESC, name), ', ', '') AS col2string FROM family_bracken_summary GROUP BY experiment_id",
+    "ORDER BY fraction_total_reads DESC, name), ', ', '') AS col2string FROM (SELECT *, RANK() OVER (PARTITION BY experiment_id "
+    "ORDER BY fraction_total_reads DESC NULLS LAST) AS r FROM family_bracken_summary) x WHERE r <= 10 GROUP BY experiment_id",
 )
 def _(ws):
     text = F.concat("name", F.lit(": "), percent_text("fraction_total_reads"), F.lit("%"))
-    rows = ws["family_bracken_summary"].withColumn("line", text)
-    return column_to_string(rows, "experiment_id", "line", "fraction_total_reads", "name")
+    leading = top_n_with_ties(ws["family_bracken_summary"], ["experiment_id"], "fraction_total_reads", 10)
+    return column_to_string(leading.withColumn("line", text), "experiment_id", "line", "fraction_total_reads", "name")
 
 
 def skewness_sql(column: str, table: str, digits: int = 4) -> str:

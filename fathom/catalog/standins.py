@@ -68,22 +68,27 @@ SELECT CONCAT('SRX', c_custkey) AS experiment_accession, CONCAT('ERS', c_custkey
        'Illumina' AS instrument_model, CAST(c_custkey * 1000 AS BIGINT) AS read_count,
        CONCAT(c_custkey * 10, ';', c_custkey * 20) AS fastq_bytes
 FROM customer""",
-    "climatology": """
-SELECT CONCAT('L', c.c_custkey) AS library_id, v.variable AS variable,
-       CASE WHEN (c.c_custkey + v.k) % 23 <> 0 THEN CAST((c.c_custkey * v.k) % 97 - 3 AS DOUBLE) / 8 END AS value
-FROM customer c CROSS JOIN (VALUES ('prokaryote_c01_darwin_clim', 1), ('prokaryote_c02_darwin_clim', 2),
-  ('NO3_darwin_clim', 3), ('PO4_darwin_clim', 4), ('DOP_darwin_clim', 5), ('FeT_darwin_clim', 6)) AS v(variable, k)
-WHERE (c.c_custkey + v.k) % 41 <> 0""",
+    "climatology": "UNION ALL".join(
+        f"""
+SELECT CONCAT('L', c_custkey) AS library_id, '{variable}' AS variable,
+       CASE WHEN (c_custkey + {k}) % 23 <> 0 THEN CAST((c_custkey * {k}) % 97 - 3 AS DOUBLE) / 8 END AS value
+FROM customer WHERE (c_custkey + {k}) % 41 <> 0
+"""
+        for k, variable in enumerate(CLIMATOLOGY_VARIABLES, 1)
+    ),
     "longhurst": """
 SELECT CONCAT('L', c.c_custkey) AS library_id, CAST((c.c_custkey * 37) % 181 - 90 AS DOUBLE) AS lat,
        CAST((c.c_custkey * 73) % 361 - 180 AS DOUBLE) AS lon, n.n_name AS code,
        CONCAT('Province ', n.n_name) AS description
 FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE c.c_custkey % 29 <> 0""",
-    "scored": """
-SELECT m.model_id AS model_id, b.doc_id AS id, b.toxic AS truth,
-       CAST((d.n_chars * m.k + b.doc_id) % 100 AS DOUBLE) / 100 AS score
+    "scored": "UNION ALL".join(
+        f"""
+SELECT '{model}' AS model_id, b.doc_id AS id, b.toxic AS truth,
+       CAST((d.n_chars * {k} + b.doc_id) % 100 AS DOUBLE) / 100 AS score
 FROM labels b JOIN documents d ON b.doc_id = d.doc_id
-CROSS JOIN (VALUES ('GBM_1', 1), ('GLM_1', 7), ('DRF_1', 13)) AS m(model_id, k)""",
+"""
+        for model, k in (("GBM_1", 1), ("GLM_1", 7), ("DRF_1", 13))
+    ),
 }
 
 # The same results in SQL, for the checks of what is built on top of the sources.

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import as_column
+from ..session import materialise
 
 # 2**32 divided by the golden ratio, and a prime modulus: fixed values of the arithmetic hash.
 HASH_FACTOR = 2654435761
@@ -90,8 +91,10 @@ def running_totals(
 ) -> DataFrame:
     """Add ``cum_<c>`` (running total up to and with this row) and ``all_<c>`` (group total).
 
-    ``df`` must hold one row per (group, order value), and no NULL in ``order``.
+    ``df`` must hold one row per (group, order value), and no NULL in ``order``. It is written out
+    once, so that split points, range totals and rows all come from the same values.
     """
+    df = materialise(df, "ordered")
     points = split_points(df, order)
     cut = df.withColumn("_range", range_index(order, points))
     turn = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())

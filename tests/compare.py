@@ -17,17 +17,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def _kind(arrow_type) -> str:
-    import pyarrow.types as pt
-
-    if pt.is_integer(arrow_type):
-        return "integer"
-    if pt.is_floating(arrow_type):
-        return "floating"
-    if pt.is_decimal(arrow_type):
-        return "decimal"
-    if pt.is_string(arrow_type) or pt.is_large_string(arrow_type):
-        return "text"
-    return str(arrow_type)
+    return str(arrow_type).replace("large_", "")
 
 
 def _text(value) -> str:
@@ -47,7 +37,7 @@ def _rows(table):
 def difference(df, con, sql: str) -> str | None:
     """``None`` if both give the same columns and rows, else what differs."""
     left = df.toArrow()
-    right = con.execute(sql).to_arrow_table()
+    right = con.sql(sql).to_arrow_table()
     left_names, left_rows = _rows(left)
     right_names, right_rows = _rows(right)
     if left_names != right_names:

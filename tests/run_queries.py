@@ -24,11 +24,15 @@ def main(folder: str, wanted: list[str]) -> int:
         start = time.time()
         try:
             df = build(spark, folder)
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            pairs = [j for j in ("CartesianProduct", "BroadcastNestedLoopJoin") if j in plan]
             if name in checks:
                 problem = difference(df, con, checks[name])
                 state = problem or "same rows"
             else:
                 problem, state = None, f"{df.count()} rows, no SQL"
+            if pairs:
+                problem = state = f"{state}; plan has {pairs}"
         except Exception as error:
             problem = state = f"{type(error).__name__}: {str(error)[:600]}"
             if len(wanted) == 1:
