@@ -198,5 +198,4 @@ def model_table(ws):
 
 @query("k10_features")
 def _(ws):
-    recipe = fit_features(model_table(ws), "temperature", "biosample_id", correlation=0.03)
-    return recipe.apply(model_table(ws))
+    return fit_features(model_table(ws), "temperature", "biosample_id", correlation=0.03).training

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.sql import DataFrame
@@ -64,7 +64,7 @@ def classification_table(
 
 @dataclass
 class FeatureRecipe:
-    """A fitted recipe: the model that applies it and the columns chosen for modelling."""
+    """A fitted recipe: the model that applies it, the columns chosen, and the training rows as prepared."""
 
     model: PipelineModel
     outcome: str
@@ -72,7 +72,8 @@ class FeatureRecipe:
     removed: list[str]
     imputed: list[str]
     skewed: list[str]
-    selected: list[str] = field(default_factory=list)
+    selected: list[str]
+    training: DataFrame
 
     def apply(self, df: DataFrame) -> DataFrame:
         return self.model.transform(df)
@@ -111,8 +112,11 @@ def fit_features(
             # Later stages read the rows several times; the steps so far are not repeated for each.
             baked = materialise(baked, "baked")
     selected = correlated_features(baked.drop(key), outcome, correlation)
-    fitted.append(KeepColumns(columns=selected, exclude=exclude))
-    return FeatureRecipe(PipelineModel(fitted), outcome, key, removed, imputed, skewed, selected)
+    keep = KeepColumns(columns=selected, exclude=exclude)
+    fitted.append(keep)
+    return FeatureRecipe(
+        PipelineModel(fitted), outcome, key, removed, imputed, skewed, selected, keep.transform(baked)
+    )
 
 
 def taxa_with_metadata(metadata: DataFrame, mapping: DataFrame, family_summary: DataFrame) -> DataFrame:

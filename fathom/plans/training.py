@@ -38,7 +38,7 @@ def train_regression(
     train, test = random_split(table, key, ratio)
     recipe = fit_features(train if fit_on == "train" else table, outcome, key, correlation=correlation)
     chosen = list(features or recipe.selected)
-    ready = materialise(recipe.apply(train), "train")
+    ready = recipe.training if fit_on == "train" else materialise(recipe.apply(train), "train")
     held = materialise(recipe.apply(test), "test")
     found = search(ready, outcome, chosen, key, nfolds, budget_seconds, candidates)
     scored = found.leader.transform(held)

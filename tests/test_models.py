@@ -237,6 +237,7 @@ def test_recipe_and_training(spark, sloped):
     recipe = fit_features(df, "y", "id")
     assert recipe.removed == ["gone"] and recipe.imputed == ["v"] and {"u", "v"} <= set(recipe.selected)
     baked = recipe.apply(df)
+    assert sorted(map(str, baked.collect())) == sorted(map(str, recipe.training.select(*baked.columns).collect()))
     assert baked.count() == 600 and baked.where("v IS NULL").count() == 0
     result = train_regression(
         df, "y", "id", new_path(spark, "training"), nfolds=2, importance_repeats=2,
