@@ -27,7 +27,7 @@ from ..functions.columns import (
 from ..functions.numbers import exact_avg
 from ..session import materialise
 from .neighbours import CELL_ROWS, Space, nearest_rows
-from .ordering import hashed_rank
+from .ordering import hashed_rank, range_count
 from .profile import per_column
 
 MAX_LEVELS = 1000
@@ -364,7 +364,9 @@ def best_powers(df: DataFrame, columns: Sequence[str], tries: Sequence[int] = (1
     Equal values are counted once, before the grids: columns of mostly zeros shrink to a few rows.
     """
     cells = long_cells(df, columns, "x", cast="double").where("x IS NOT NULL")
-    counts = materialise(cells.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n")), "values")
+    counts = cells.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"))
+    # Few bytes, much arithmetic: spread over all tasks, read by each pass.
+    counts = materialise(counts.repartition(range_count(df)), "values")
     middles = {
         r.feature: r.m
         for r in counts.groupBy("feature").agg((F.sum(F.expr("n * x")) / F.sum("n")).alias("m"), (F.min("x") < F.max("x")).alias("varies"))
