@@ -17,25 +17,32 @@ from pyspark.sql import types as T
 PIECE_BYTES = 1 << 20
 
 
-def add_columns(df: DataFrame, fields: str, make: Callable[[pa.RecordBatch], list]) -> DataFrame:
+def add_columns(
+    df: DataFrame, fields: str, make: Callable[[pa.RecordBatch], list], without: tuple[str, ...] = ()
+) -> DataFrame:
     """``df`` with the columns of ``fields`` (a schema in words), which ``make`` returns for a batch.
 
-    Columns of ``df`` that have one of the new names, in any case, give way to the new ones.
+    Columns of ``df`` that have one of the new names, in any case, give way to the new ones; those
+    in ``without`` are there for ``make`` but not returned.
     """
     new = T._parse_datatype_string(fields)
-    taken = {f.name.lower() for f in new}
+    taken = {f.name.lower() for f in new} | {n.lower() for n in without}
     kept = [f for f in df.schema if f.name.lower() not in taken]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
+                columns = [column_of(batch, n) for n in names]
                 yield pa.RecordBatch.from_arrays(columns + make(batch), names + new.fieldNames())
 
     return df.mapInArrow(run, T.StructType([*kept, *new.fields]))
 
 
+def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text or binary column and the offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
