@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import find_leaks
+from .lines import recurring_lines, without_lines
 from .minhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +37,17 @@ def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
+@query("op3_line_templates")
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    found = recurring_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return without_lines(found, "text", "dropped").select(
+        "doc_id",
+        "text",
+        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.expr("coalesce(array_join(dropped, ','), '')").alias("dropped_lines"),
+    )
+
+
 @query("op9_order_minhash")
 def _near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents")).select("doc_id", "class_id", "kept")
