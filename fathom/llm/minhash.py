@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from fathom.session import materialise
 
 from .batches import add_columns, list_array, pieces
-from .store import components
+from .store import components, fresh
 from .words import find_words, mix, occurrence_labels, row_shingles, sequence_hashes
 
 SHINGLE_WORDS = 5
@@ -235,3 +235,14 @@ def _compare(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFr
     one = shingles.select("key", F.col("shingles").alias("one"))
     two = shingles.select(F.col("key").alias("leader"), F.col("shingles").alias("two"))
     return _scored(pairs.join(one, "key").join(two, "leader"), similarity)
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` marks as kept, one of rows equal in number and text."""
+    chosen = near_duplicates(docs, doc_id, text, **options).where("kept")
+    kept = materialise(chosen.select(F.col("key").alias("k"), F.col("doc_id").alias("d")).distinct(), "kept")
+    key = fresh(docs, "text_key")
+    marked = docs.withColumn(key, F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    return marked.join(kept, (F.col(key) == F.col("k")) & F.col(doc_id).eqNullSafe(F.col("d")), "left_semi").dropDuplicates(
+        [key, doc_id]
+    ).select(docs.columns)

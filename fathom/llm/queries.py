@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from .decontamination import find_leaks
 from .lines import recurring_lines, without_lines
 from .minhash import near_duplicates
+from .mixing import mix
+from .quality import fit, held_out, with_score
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -37,6 +41,16 @@ def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
+@query("op2_subword_quality")
+def _quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, folder, "labels"))
+    scored = with_score(docs, model, without=("text",))
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 @query("op3_line_templates")
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
     found = recurring_lines(table(spark, folder, "documents").select("doc_id", "text"))
@@ -48,6 +62,17 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op4_source_mix")
+def _mix(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mix(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 @query("op9_order_minhash")
 def _near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents")).select("doc_id", "class_id", "kept")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    CHECKS["pipeline"] = corpus_pipeline.ORACLE_SQL
