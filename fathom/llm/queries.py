@@ -14,6 +14,7 @@ from .lines import recurring_lines, without_lines
 from .minhash import near_duplicates
 from .mixing import mix
 from .quality import fit, held_out, with_score
+from .warc import archived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -73,6 +74,26 @@ def _near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents")).select("doc_id", "class_id", "kept")
 
 
+@query(
+    "op10_zstd_warc",
+    """
+    WITH r AS (
+        SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+        FROM pages
+    ), f AS (
+        SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM r
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+        CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+    FROM f
+    """,
+)
+def _archives(spark: SparkSession, folder: str) -> DataFrame:
+    read = archived(table(spark, folder, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     CHECKS["pipeline"] = corpus_pipeline.ORACLE_SQL
