@@ -13,6 +13,7 @@ from .decontamination import find_leaks
 from .lines import recurring_lines, without_lines
 from .minhash import near_duplicates
 from .mixing import mix
+from .pages import with_main_text
 from .quality import fit, held_out, with_score
 from .warc import archived
 
@@ -69,6 +70,12 @@ def _mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+@query("op5_main_text")
+def _main_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = with_main_text(table(spark, folder, "pages").select("page_id", "url", "html"), without=("html",))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op9_order_minhash")
 def _near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents")).select("doc_id", "class_id", "kept")
