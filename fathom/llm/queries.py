@@ -15,6 +15,7 @@ from .minhash import near_duplicates
 from .mixing import mix
 from .pages import with_main_text
 from .quality import fit, held_out, with_score
+from .rules import BASE, PROSE, cascade
 from .warc import archived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +77,15 @@ def _main_text(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+@query("op7_rule_cascade")
+def _rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    found = cascade(docs, BASE + PROSE, reported=measures, without=("text",))
+    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return found.select("doc_id", *measures, base.alias("base_failed"), "kept")
+
+
 @query("op9_order_minhash")
 def _near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents")).select("doc_id", "class_id", "kept")
