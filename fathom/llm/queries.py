@@ -16,6 +16,7 @@ from .mixing import mix
 from .pages import with_main_text
 from .quality import fit, held_out, with_score
 from .rules import BASE, PROSE, cascade
+from .secrets import find_secrets, labelled_samples, span_list, train
 from .warc import archived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +87,19 @@ def _rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *measures, base.alias("base_failed"), "kept")
 
 
+@query("op8_markov_secrets")
+def _secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = find_secrets(docs, train(labelled_samples(docs)))
+    base = ["assign", "access", "hex"]
+    return found.select(
+        "doc_id",
+        *(F.size(kind).cast("long").alias(f"n_{kind}") for kind in base),
+        F.sha2(span_list(base), 256).alias("base_sha256"),
+        span_list([*base, "random"]).alias("spans"),
+    )
+
+
 @query("op9_order_minhash")
 def _near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents")).select("doc_id", "class_id", "kept")
