@@ -17,6 +17,7 @@ from .pages import with_main_text
 from .quality import fit, held_out, with_score
 from .rules import BASE, PROSE, cascade
 from .secrets import find_secrets, labelled_samples, span_list, train
+from .suffixes import without_repeats
 from .warc import archived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +79,11 @@ def _main_text(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+@query("op6_suffix_array")
+def _suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return without_repeats(table(spark, folder, "documents"))
+
+
 @query("op7_rule_cascade")
 def _rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
