@@ -8,9 +8,12 @@ are candidates. A candidate pair is linked if an alignment inside a band keeps t
 common shingles: common / (n1 + n2 - common) >= ``similarity``.
 
 Exact copies are one text from the start. In every bucket (texts with one sketch in common) each text
-is compared with one leader only, so pairs grow with the rows and not with the square of a bucket.
-Texts that their leader rejects are dealt again, by that sketch together with each later one, and get
-other leaders among the rejected. Links become classes by connected components.
+is compared with a leader only, so pairs grow with the rows and not with the square of a bucket. Leader
+is the text whose sketches are the most widely shared: in a family of copies, mostly their original.
+One minus the similarity is a metric, so a text far from the leader (below 2 * ``similarity`` - 1) is
+linked to none of the leader's copies; one nearer that is rejected is compared with further leaders.
+All that stay rejected are dealt again, by that sketch together with each later one, and get leaders
+among themselves. Links become classes by connected components.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from fathom.session import materialise
 
-from .batches import add_columns, list_array, pieces
+from .batches import add_columns, column_of, list_array, pieces
 from .store import components, fresh
 from .words import find_words, mix, occurrence_labels, row_shingles, sequence_hashes
 
@@ -32,7 +35,7 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 14
 PER_SKETCH = 3
-ROUNDS = 2
+LEADERS = 4
 _TURNS = np.random.default_rng(9).integers(1, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -58,8 +61,8 @@ def order_sketches(shingles: np.ndarray, sketches: int, per_sketch: int) -> np.n
     return total
 
 
-def aligned(one: np.ndarray, two: np.ndarray, similarity: float) -> float:
-    """Order-keeping similarity of two texts' labelled shingles, 0 if it is below ``similarity``.
+def aligned(one: np.ndarray, two: np.ndarray, least: float) -> float:
+    """Order-keeping similarity of two texts' labelled shingles, 0 if it is below ``least``.
 
     Enough common shingles leave at most ``slack`` unmatched ones, and a pair that stands in an
     alignment is that far off the diagonal at most: matches outside the band are left out. The
@@ -68,7 +71,7 @@ def aligned(one: np.ndarray, two: np.ndarray, similarity: float) -> float:
     n, m = len(one), len(two)
     if not n or not m:
         return 0.0
-    needed = similarity * (n + m) / (1 + similarity)
+    needed = least * (n + m) / (1 + least)
     slack = n + m - 2 * needed
     if min(n, m) < needed - 1e-9:
         return 0.0
@@ -87,7 +90,7 @@ def aligned(one: np.ndarray, two: np.ndarray, similarity: float) -> float:
             tops[k : k + 1] = [x]
         common = len(tops)
     score = common / (n + m - common)
-    return score if score >= similarity - 1e-12 else 0.0
+    return score if score >= least - 1e-12 else 0.0
 
 
 def _shingle_rows(column: pa.Array, length: int):
@@ -103,7 +106,7 @@ def sketched(texts: DataFrame, text: str, sketches: int, per_sketch: int, length
 
     def make(batch: pa.RecordBatch) -> list:
         counts, found = [], []
-        for row in _shingle_rows(batch.column(batch.schema.get_field_index(text)), length):
+        for row in _shingle_rows(column_of(batch, text), length):
             counts.append(len(row))
             found.append(order_sketches(row, sketches, per_sketch) if len(row) else row)
         values = np.concatenate(found).astype(np.uint64).view(np.int64) if found else np.empty(0, np.int64)
@@ -114,33 +117,39 @@ def sketched(texts: DataFrame, text: str, sketches: int, per_sketch: int, length
 
 def _with_shingles(texts: DataFrame, length: int) -> DataFrame:
     def make(batch: pa.RecordBatch) -> list:
-        rows = [r.tobytes() for r in _shingle_rows(batch.column(batch.schema.get_field_index("text")), length)]
+        rows = [r.tobytes() for r in _shingle_rows(column_of(batch, "text"), length)]
         return [pa.array(rows, pa.binary())]
 
     return add_columns(texts, "shingles binary", make).select("key", "shingles")
 
 
-def _scored(pairs: DataFrame, similarity: float) -> DataFrame:
+def _scored(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
     def make(batch: pa.RecordBatch) -> list:
-        one, two = (batch.column(batch.schema.get_field_index(n)) for n in ("one", "two"))
+        one, two = (column_of(batch, n) for n in ("one", "two"))
         scores = [
-            aligned(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), similarity)
+            aligned(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), least)
             for a, b in zip(one, two)
         ]
         return [pa.array(scores, pa.float64())]
 
-    return add_columns(pairs, "score double", make).select("key", "leader", "score")
+    one = shingles.select("key", F.col("shingles").alias("one"))
+    two = shingles.select(F.col("key").alias("leader"), F.col("shingles").alias("two"))
+    joined = pairs.select("key", "leader").join(one, "key").join(two, "leader")
+    return materialise(add_columns(joined, "score double", make, without=("one", "two")), "scores")
 
 
-def _led(buckets: DataFrame) -> DataFrame:
-    """Each text of a bucket beside its leader, the smallest key; buckets of one text go."""
-    leaders = (
-        buckets.groupBy("bucket")
-        .agg(F.min(F.struct("key", "n_shingles")).alias("lead"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("bucket", F.col("lead.key").alias("leader"), F.col("lead.n_shingles").alias("n_leader"))
-    )
-    return buckets.join(leaders, "bucket").where("key <> leader")
+def _shared(buckets: DataFrame) -> DataFrame:
+    """Rows of buckets that hold more than one text, with ``weight``: how widely a text's buckets are shared."""
+    sizes = materialise(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    rows = materialise(buckets.join(sizes, "bucket"), "shared")
+    weights = materialise(rows.groupBy("key").agg(F.sum("n").alias("weight")), "weights")
+    return materialise(rows.drop("n").join(weights, "key"), "weighted")
+
+
+def _leaders(rows: DataFrame) -> DataFrame:
+    best = rows.groupBy("bucket").agg(F.max(F.struct("weight", "key", "n_shingles")).alias("lead"))
+    best = best.select("bucket", F.col("lead.key").alias("leader"), F.col("lead.n_shingles").alias("n_leader"))
+    return materialise(best, "leaders")
 
 
 def near_duplicates(
@@ -151,7 +160,7 @@ def near_duplicates(
     sketches: int = SKETCHES,
     per_sketch: int = PER_SKETCH,
     length: int = SHINGLE_WORDS,
-    rounds: int = ROUNDS,
+    leaders: int = LEADERS,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``key`` (MD5 of the text), ``class_id``, ``kept``.
 
@@ -169,44 +178,54 @@ def near_duplicates(
     texts = materialise(
         marked.groupBy("key").agg(F.min(last).alias("first")).select("key", "first.doc_id", "first.n_shingles", "first.sketch"), "texts"
     )
-    buckets = texts.select("key", "n_shingles", F.explode("sketch").alias("bucket"))
-    led = materialise(_led(buckets), "led")
-    fits = F.least("n_shingles", "n_leader") >= similarity * F.greatest("n_shingles", "n_leader") - 1e-9
-    pairs = led.where(fits).select("key", "leader").distinct()
-
-    near = materialise(pairs, "pairs")
-    wanted = texts.join(near.select("key").union(near.select("leader")).distinct(), "key", "left_semi").select("key", "doc_id")
-    # Rejected texts meet texts of the same buckets only, all of which are known now.
+    least = max(0.0, 2 * similarity - 1)
+    near = F.least("n_shingles", "n_leader") >= least * F.greatest("n_shingles", "n_leader") - 1e-9
+    members = _shared(texts.select("key", "n_shingles", F.explode("sketch").alias("bucket")))
+    wanted = texts.join(members.select("key").distinct(), "key", "left_semi").select(
+        F.col("key").alias("k"), F.col("doc_id").alias("d")
+    )
     source = docs.select(key.alias("key"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    chosen = source.join(
-        wanted.select(F.col("key").alias("k"), F.col("doc_id").alias("d")), F.expr("key = k AND doc_id <=> d"), "left_semi"
-    ).dropDuplicates(["key", "doc_id"])
+    chosen = source.join(wanted, F.expr("key = k AND doc_id <=> d"), "left_semi").dropDuplicates(["key", "doc_id"])
     shingles = materialise(_with_shingles(chosen.select("key", "text"), length), "shingles")
 
-    links = []
-    for turn in range(rounds):
-        scores = materialise(_compare(near, shingles, similarity), "scores")
-        links.append(scores.where("score > 0").select(F.col("key").alias("a"), F.col("leader").alias("b")))
-        if turn + 1 == rounds:
-            break
-        # Pairs of too different length weren't compared; they are rejected as well.
-        rejected = led.join(scores.where("score > 0").select("key", "leader"), ["key", "leader"], "left_anti")
-        rejected = rejected.select("bucket", "key", "n_shingles")
-        again = (
-            rejected.join(texts.select("key", "sketch"), "key")
-            .withColumn("at", F.array_position("sketch", F.col("bucket")))
-            .select("key", "n_shingles", "bucket", F.expr("slice(sketch, int(at) + 1, size(sketch))").alias("later"))
-            .select("key", "n_shingles", F.col("bucket").alias("first"), F.explode("later").alias("second"))
-            .select("key", "n_shingles", F.xxhash64("first", "second").alias("bucket"))
-        )
-        led = materialise(_led(again), "led")
-        tried = scores.select("key", "leader")
-        near = materialise(led.where(fits).select("key", "leader").distinct().join(tried, ["key", "leader"], "left_anti"), "pairs")
-        missing = near.select("key").union(near.select("leader")).distinct().join(shingles, "key", "left_anti")
-        extra = texts.join(missing, "key", "left_semi").select(F.col("key").alias("k"), F.col("doc_id").alias("d"))
-        if not extra.isEmpty():
-            more = source.join(extra, F.expr("key = k AND doc_id <=> d"), "left_semi").dropDuplicates(["key", "doc_id"])
-            shingles = shingles.unionByName(materialise(_with_shingles(more.select("key", "text"), length), "shingles"))
+    links, known = [], None
+    waiting, strange = members, None
+    for turn in range(leaders):
+        heads = _leaders(members)
+        members = materialise(members.join(heads, "bucket").where("key <> leader").drop("leader", "n_leader"), "members")
+        led = materialise(waiting.join(heads, "bucket").where("key <> leader"), "led")
+        pairs = led.where(near).select("key", "leader").distinct()
+        if known is not None:
+            pairs = pairs.join(known.select("key", "leader"), ["key", "leader"], "left_anti")
+        scores = _scored(materialise(pairs, "pairs"), shingles, least)
+        known = scores if known is None else known.unionByName(scores)
+        links.append(scores.where(F.col("score") >= similarity - 1e-12))
+        tested = led.join(known, ["key", "leader"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        rejected = tested.where(F.col("score") < similarity - 1e-12).select("bucket", "key", "n_shingles", "weight", "score")
+        rejected = materialise(rejected, "rejected")
+        if turn == 0:
+            strange = rejected.where("score = 0").drop("score")
+            rejected = rejected.where("score > 0")
+        waiting = rejected.drop("score")
+    # Strangers to the first leader, and rows that no leader took, meet those that share one more sketch.
+    again = (
+        strange.unionByName(waiting)
+        .join(texts.select("key", "sketch"), "key")
+        .withColumn("at", F.array_position("sketch", F.col("bucket")))
+        .select("key", "n_shingles", F.col("bucket").alias("first"), F.expr("slice(sketch, int(at) + 1, size(sketch))").alias("later"))
+        .select("key", "n_shingles", "first", F.explode("later").alias("second"))
+        .select("key", "n_shingles", F.xxhash64("first", "second").alias("bucket"))
+    )
+    members = _shared(again)
+    for _ in range(2):
+        heads = _leaders(members)
+        members = materialise(members.join(heads, "bucket").where("key <> leader"), "led")
+        pairs = members.where(near).select("key", "leader").distinct().join(known.select("key", "leader"), ["key", "leader"], "left_anti")
+        scores = _scored(materialise(pairs, "pairs"), shingles, least)
+        known = known.unionByName(scores)
+        links.append(scores.where(F.col("score") >= similarity - 1e-12))
+        members = members.drop("leader", "n_leader")
+    links = [x.select(F.col("key").alias("a"), F.col("leader").alias("b")) for x in links]
 
     edges = links[0]
     for more in links[1:]:
@@ -231,12 +250,6 @@ def near_duplicates(
     )
 
 
-def _compare(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    one = shingles.select("key", F.col("shingles").alias("one"))
-    two = shingles.select(F.col("key").alias("leader"), F.col("shingles").alias("two"))
-    return _scored(pairs.join(one, "key").join(two, "leader"), similarity)
-
-
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` marks as kept, one of rows equal in number and text."""
     chosen = near_duplicates(docs, doc_id, text, **options).where("kept")

@@ -22,8 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges`` has columns ``a`` and ``b``; loops, repeated edges and empty tables are allowed, null
     is not. Large-star and small-star steps by turns replace each edge by one to the smallest known
     neighbour until nothing changes. No neighbourhood is collected: a step is a minimum per node,
-    combined before the shuffle, and a join that adaptive execution may split at hot nodes. Every
-    state is a table in the shared folder.
+    combined before the shuffle, and a join of tables that adaptive execution may split at hot nodes.
+    Every state is a table in the shared folder.
     """
     state = materialise(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
@@ -31,10 +31,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = _digest(state)
     while True:
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = materialise(large, "large-star")
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        down = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = (
             large.join(down, "a")
             .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))))
