@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "profiling", "composites", "preparation", "modelling")
+MODULES = ("relational", "profiling", "composites", "preparation", "modelling", "fixed_models")
 
 
 def load():

@@ -552,8 +552,8 @@ def _(ws):
 @query("z1_stream_scoring")
 def _(ws):
     arrivals, out, checkpoint = (new_path(ws.spark, n) for n in ("arrivals", "scores", "checkpoint"))
-    observations(ws).write.option("maxRecordsPerFile", 500).parquet(arrivals)
-    stream = arriving(ws.spark, arrivals, observations(ws).schema, files_per_trigger=2)
+    observations(ws).write.parquet(arrivals)
+    stream = arriving(ws.spark, arrivals, observations(ws).schema)
     running = score_stream(regressor(ws), stream.drop("temperature"), "library_id", INPUTS, out, checkpoint)
     running.awaitTermination()
     return ws.spark.read.parquet(out)

@@ -13,9 +13,9 @@ from pyspark.ml import Transformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import quoted
+from ..functions.columns import long_cells, quoted
 from .chartdata import bin_index, box_statistics, value_bounds
-from .ordering import hashed_rank
+from .ordering import exact_quantiles, hashed_rank
 
 MAX_OBSERVATIONS = 100
 
@@ -76,10 +76,11 @@ def importance_summary(importance: DataFrame) -> DataFrame:
 
 
 def quantile_grids(df: DataFrame, features: Sequence[str], points: int = 11) -> dict[str, list[float]]:
-    """A few increasing values per feature, at about even shares of its rows."""
-    shares = [i / (points - 1) for i in range(points)]
-    row = df.agg(*[F.percentile_approx(quoted(c).cast("double"), shares, 10000).alias(f"q{i}") for i, c in enumerate(features)]).first()
-    return {c: sorted(set(row[f"q{i}"] or [])) for i, c in enumerate(features)}
+    """A few increasing values per feature: the distinct quantiles at even shares of its rows."""
+    shares = {f"q{i}": i / (points - 1) for i in range(points)}
+    found = exact_quantiles(long_cells(df, features, "value", cast="double"), ["feature"], "value", shares)
+    rows = {r["feature"]: r for r in found.collect()}
+    return {c: sorted({rows[c][q] for q in shares}) if c in rows else [] for c in features}
 
 
 def _grid_cells(grids: dict[str, list[float]]) -> Column:
@@ -182,7 +183,10 @@ def contributions(
 
     Contributions of one ordering add up to the observation's prediction minus the mean prediction.
     """
+    schema = f"`{key}` string, ordering int, feature string, contribution double"
     picked = _picked(observations, key, features)
+    if not picked:
+        return background.sparkSession.createDataFrame([], schema)
     steps = len(features) + 1
     size = len(picked) * len(orderings) * steps
     step = F.col("_i") % steps
@@ -205,7 +209,6 @@ def contributions(
             result += [
                 (row["_key"], b, c, means[start + j + 1] - means[start + j]) for j, c in enumerate(order)
             ]
-    schema = f"`{key}` string, ordering int, feature string, contribution double"
     return background.sparkSession.createDataFrame(result, schema)
 
 

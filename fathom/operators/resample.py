@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import exact_avg
@@ -21,6 +21,11 @@ def with_split(
     return df.withColumn(name, F.when(below, "train").otherwise("test"))
 
 
+def hash_sample(df: DataFrame, key: Column | str, ratio: float, seed: int = 7, method: str = "xxhash64") -> DataFrame:
+    """The rows whose key has a small hash: about ``ratio`` of them, the same however the data is partitioned."""
+    return df.where(hash_value(key, seed, method) < int(ratio * HASH_MODULUS))
+
+
 def random_split(
     df: DataFrame, key: str, ratio: float = 0.85, seed: int = 1234, method: str = "xxhash64"
 ) -> tuple[DataFrame, DataFrame]:
