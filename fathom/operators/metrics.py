@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import quoted
 from ..functions.text import first_token
 from .ordering import running_totals
 from .rank import numbered
@@ -111,7 +112,8 @@ def class_metrics(
     df: DataFrame, truth: str, predicted: str, groups: Sequence[str] = (), probability: str | None = None
 ) -> DataFrame:
     """Long rows: accuracy, macro-averaged sensitivity and specificity, and log loss if the
-    probability of the true class is given."""
+    probability of the true class is given. Rows without a truth are left out; a missing group is a group."""
+    df = df.where(quoted(truth).isNotNull())
     extra = [] if probability is None else [
         F.sum(-F.log(F.greatest(F.col(probability), F.lit(PROBABILITY_FLOOR)))).alias("loss")
     ]
@@ -124,9 +126,11 @@ def class_metrics(
     )
     by_truth = cells.groupBy(*groups, F.col("_t").alias("level")).agg(F.sum("n").alias("positives"), F.sum(right).alias("tp"))
     by_guess = cells.groupBy(*groups, F.col("_p").alias("level")).agg(F.sum("n").alias("guessed"))
-    levels = by_truth.join(by_guess, [*groups, "level"], "left").join(
-        totals.select(*groups, "all"), list(groups)
-    ) if groups else by_truth.join(by_guess, "level", "left").withColumn("all", F.sum("positives").over(Window.partitionBy(F.lit(1))))
+    renamed = by_guess.withColumnsRenamed({c: f"_g_{c}" for c in (*groups, "level")})
+    sizes = totals.select(*[F.col(g).alias(f"_a_{g}") for g in groups], "all")
+    levels = by_truth.join(
+        renamed, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in (*groups, "level")], "left"
+    ).join(sizes, [F.col(g).eqNullSafe(F.col(f"_a_{g}")) for g in groups]) if groups else by_truth.join(by_guess, "level", "left").withColumn("all", F.sum("positives").over(Window.partitionBy(F.lit(1))))
     false_positive = F.coalesce("guessed", F.lit(0)) - F.col("tp")
     negatives = F.col("all") - F.col("positives")
     rates = levels.groupBy(*groups).agg(
@@ -174,7 +178,7 @@ def regression_metrics(df: DataFrame, truth: str, predicted: str, groups: Sequen
 def ordered_leaderboard(leaderboard: DataFrame, order_by: str, model: str = "model_id") -> DataFrame:
     """Number the models from the best by a metric, and add the model type."""
     if order_by not in leaderboard.columns:
-        raise ValueError(f"order_by = '{order_by}' is not a permitted option")
+        raise ValueError(f"no metric {order_by!r} to order by; the leaderboard has {', '.join(leaderboard.columns)}")
     sign = F.col(order_by) if order_by not in LARGER_IS_BETTER else -F.col(order_by)
     ranked = numbered(leaderboard.withColumn("_order", sign), ["_order", model], name="rowname").drop("_order")
     return ranked.withColumn("model_type", first_token(model))
@@ -201,7 +205,7 @@ def performance_pack(
 ) -> tuple[DataFrame, DataFrame]:
     """Threshold and gain tables of the best models, each row with its model's position and metric."""
     if order_by not in ("auc", "logloss"):
-        raise ValueError(f"order_by = '{order_by}' is not a permitted option")
+        raise ValueError(f"models are ordered by auc or logloss, not by {order_by!r}")
     best = ordered_leaderboard(binary_leaderboard(scored, model), order_by, model).where(
         F.col("rowname") <= max_models
     ).select(model, "rowname", order_by)

@@ -208,12 +208,15 @@ def fold_predictions(
 
 
 def search(
-    train: DataFrame, outcome: str, features: Sequence[str], key: str, nfolds: int = 10, budget_seconds: float = 180.0,
+    train: DataFrame, outcome: str, features: Sequence[str], key: str, nfolds: int = 10, budget_seconds: float | None = None,
     candidates: dict[str, Callable[[], Estimator]] | None = None, order_by: str | None = None,
     leaderboard_frame: DataFrame | None = None, validation_frame: DataFrame | None = None,
     keep_fold_models: bool = False, seed: int = 1,
 ) -> Search:
-    """Cross-validate several model families until the time budget is used up; at least one is fitted.
+    """Cross-validate several model families, all of them unless a time budget is given.
+
+    A budget stops the search, after one model at least; the leaderboard lists the candidates that were
+    then skipped, behind the others, without figures and with ``state`` "skipped".
 
     Metrics come from the holdout predictions, or from ``leaderboard_frame`` if it is given.
     With a ``validation_frame`` the leaderboard also holds its metrics.
@@ -228,14 +231,15 @@ def search(
         candidates = candidates or regression_candidates(seed)
     prepared = materialise(with_folds(known, key, nfolds, strata=outcome if text else None, seed=seed), "folds")
     outputs = [PREDICTED, *([probability_name(v) for v in labels] if text else [])]
-    started = time.monotonic()
+    started, skipped = time.monotonic(), []
     models: dict[str, PipelineModel] = {}
     fold_models: dict[str, list[PipelineModel]] = {}
     holdout = None
     boards = []
     for model_id, make in candidates.items():
-        if models and time.monotonic() - started > budget_seconds:
-            break
+        if models and budget_seconds is not None and time.monotonic() - started > budget_seconds:
+            skipped.append(model_id)
+            continue
         recipe = lambda make=make: model_recipe(make(), features, outcome, labels)
         kept: list[PipelineModel] = []
         predicted = fold_predictions(prepared, recipe, range(nfolds), ["fold", key, outcome, *outputs], kept_models=kept)
@@ -244,9 +248,10 @@ def search(
         models[model_id] = recipe().fit(prepared)
         if keep_fold_models:
             fold_models[model_id] = kept
-        frames = [("", predicted if leaderboard_frame is None else models[model_id].transform(leaderboard_frame))]
+        measured = lambda frame: models[model_id].transform(frame.where(quoted(outcome).isNotNull()))
+        frames = [("", predicted if leaderboard_frame is None else measured(leaderboard_frame))]
         if validation_frame is not None:
-            frames.append(("validation_", models[model_id].transform(validation_frame)))
+            frames.append(("validation_", measured(validation_frame)))
         row = {"model_id": model_id}
         for prefix, frame in frames:
             found = _figures(frame, outcome, labels).first().asDict()
@@ -257,8 +262,9 @@ def search(
     boards.sort(key=lambda r: (r[order] is None, best_first * (r[order] or 0.0), r["model_id"]))
     spark = train.sparkSession
     names = list(boards[0])
-    schema = "position long, model_id string, " + ", ".join(f"{n} double" for n in names if n != "model_id")
-    rows = [(i + 1, r["model_id"], *[r[n] for n in names if n != "model_id"]) for i, r in enumerate(boards)]
+    schema = "position long, model_id string, state string, " + ", ".join(f"{n} double" for n in names if n != "model_id")
+    rows = [(i + 1, r["model_id"], "fitted", *[r[n] for n in names if n != "model_id"]) for i, r in enumerate(boards)]
+    rows += [(len(boards) + i + 1, m, "skipped", *[None] * (len(names) - 1)) for i, m in enumerate(skipped)]
     return Search(spark.createDataFrame(rows, schema), models, holdout, order, fold_models)
 
 

@@ -28,7 +28,7 @@ class TrainingResult:
 
 def train_regression(
     table: DataFrame, outcome: str, key: str, path: str, ratio: float = 0.85, nfolds: int = 10,
-    budget_seconds: float = 180.0, correlation: float = 0.09, features: Sequence[str] | None = None, fit_on: str = "train",
+    budget_seconds: float | None = None, correlation: float = 0.09, features: Sequence[str] | None = None, fit_on: str = "train",
     keep: int = 15, candidates=None, importance_repeats: int = 10,
 ) -> TrainingResult:
     """Split, fit the recipe, search models, measure them on the test rows, save them, explain the best.
@@ -47,5 +47,5 @@ def train_regression(
     )
     return TrainingResult(
         recipe, found, held, regression_metrics(scored, outcome, PREDICTED),
-        leaderboard_long(found.leaderboard.drop("position"), found.order_by), importance, save_search(found, path, keep),
+        leaderboard_long(found.leaderboard.where("state = 'fitted'").drop("position", "state"), found.order_by), importance, save_search(found, path, keep),
     )

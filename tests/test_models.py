@@ -196,7 +196,11 @@ def test_search_beats_the_mean(spark, sloped):
 
 def test_search_stops_at_its_budget(sloped):
     slow = {f"GLM_{i}": (lambda: LinearRegression()) for i in range(4)}
-    assert len(search(sloped, "y", ["u"], "id", nfolds=2, budget_seconds=0, candidates=slow).models) == 1
+    found = search(sloped, "y", ["u"], "id", nfolds=2, budget_seconds=0, candidates=slow)
+    assert len(found.models) == 1
+    board = [(r.model_id, r.state, r.rmse is None) for r in found.leaderboard.orderBy("position").collect()]
+    assert board == [("GLM_0", "fitted", False), *[(f"GLM_{i}", "skipped", True) for i in (1, 2, 3)]]
+    assert {r.state for r in search(sloped, "y", ["u"], "id", nfolds=2, candidates=slow).leaderboard.collect()} == {"fitted"}
 
 
 def test_scoring_adds_absent_inputs(line, sloped):
