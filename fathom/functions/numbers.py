@@ -51,6 +51,16 @@ def exact_avg(c: Column | str, scale: int = 8) -> Column:
     return F.try_divide(exact_sum(c, scale), F.count(c))
 
 
+def few_avg(c: Column | str) -> Column:
+    """Average of a few values, added in ascending order: the same doubles in whatever order rows come.
+
+    It collects its values, so it is for groups of bounded size.
+    """
+    c = as_column(c)
+    total = F.aggregate(F.sort_array(F.collect_list(c)), F.lit(0.0), lambda a, x: a + x)
+    return F.try_divide(total, F.count(c))
+
+
 def na_propagating(aggregate: Column, c: Column | str, na_propagate: bool = False) -> Column:
     """An aggregate that is NULL as soon as one input is NULL, when asked for."""
     if not na_propagate:

@@ -9,6 +9,7 @@ No donor is left out: the centres steer the work, not the result.
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -161,21 +162,18 @@ def nearest_rows(
 def _centres(donors: DataFrame, cells: dict[str, int], space: Space, one_each: bool) -> pd.DataFrame:
     if one_each:
         return pd.DataFrame({"_group": list(cells), "_cell": range(len(cells))})
-    wanted = F.lit(0)
-    for g, n in cells.items():
-        wanted = F.when(F.col("_group") == g, F.lit(n)).otherwise(wanted)
-    ranked = hashed_rank(donors, "_key", ["_group"], seed=11, name="_rank")
-    chosen = ranked.where(F.col("_rank") <= wanted).orderBy("_group", "_rank").limit(2 * MAX_CELLS).toPandas()
+    wanted = donors.sparkSession.createDataFrame(list(cells.items()), "_group string, _wanted long")
+    ranked = hashed_rank(donors, "_key", ["_group"], seed=11, name="_rank").join(wanted, "_group")
+    chosen = ranked.where("_rank <= _wanted").drop("_wanted").orderBy("_group", "_rank").limit(2 * MAX_CELLS).toPandas()
     return chosen.assign(_cell=range(len(chosen)))
 
 
 def _assigned(rows: DataFrame, centres: pd.DataFrame, space: Space) -> DataFrame:
     """Add the cell of the nearest centre of the row's group."""
     if "_key" not in centres.columns:
-        cell = F.lit(None).cast("int")
-        for g, c in zip(centres["_group"], centres["_cell"]):
-            cell = F.when(F.col("_group") == g, F.lit(int(c))).otherwise(cell)
-        return rows.withColumn("_cell", cell).where(F.col("_cell").isNotNull())
+        listed = [(g, int(c)) for g, c in zip(centres["_group"], centres["_cell"])]
+        cells = rows.sparkSession.createDataFrame(listed, "_group string, _cell int")
+        return rows.join(cells, "_group").select(*rows.columns, "_cell")
     schema = T.StructType([*rows.schema.fields, T.StructField("_cell", T.IntegerType())])
 
     def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,11 +241,9 @@ def _searched(
     query_blocks = {c: -(-n // min(cell_rows, QUERY_ROWS)) for c, n in waiting.items()}
 
     def blocks(counts: dict[int, int]):
-        result = F.lit(1)
-        for c, n in counts.items():
-            if n > 1:
-                result = F.when(F.col("_cell") == c, F.lit(n)).otherwise(result)
-        return result
+        """Blocks of a row's cell, looked up by its number."""
+        listed = [int(counts.get(c, 1)) for c in range(max(counts, default=-1) + 1)]
+        return F.coalesce(F.get(F.from_json(F.lit(json.dumps(listed)), "array<int>"), F.col("_cell")), F.lit(1))
 
     def own(counts):
         return F.pmod(F.xxhash64("_key"), blocks(counts)).cast("int")
@@ -306,6 +302,7 @@ def _best(
     """The k smallest distances of each row; equal distances in donor order, which is ascending."""
     last = min(k, far.shape[1]) - 1
     reach = np.partition(far, last, axis=1)[:, last]
+    reach = np.where(np.isnan(reach), np.inf, reach)  # fewer than k are at a known distance
     row, column = np.nonzero((far <= reach[:, None]) & np.isfinite(far))
     distance = far[row, column]
     order = np.lexsort((column, distance, row))

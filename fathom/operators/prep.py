@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import (
     long_cells, name_sql, names_sql, number_literal, numeric_columns, quoted, text_columns, text_literal, with_expressions,
 )
-from ..functions.numbers import exact_avg
+from ..functions.numbers import few_avg
 from ..session import materialise
 from .neighbours import CELL_ROWS, Space, nearest_rows
 from .ordering import hashed_rank, range_count
@@ -287,7 +287,10 @@ class NeighbourImputeModel(_FittedWithParts):
             return df
         lacking = " OR ".join(f"{c} IS NULL" for c in names_sql(targets))
         have = [c for c in (*self["numeric"], *self["text"]) if c in columns]
-        asked = df.where(lacking).select(*names_sql(dict.fromkeys([key, *have, *targets])))
+        # Rows are known by what they hold: keys may repeat, and equal rows are searched once.
+        held = names_sql(dict.fromkeys([*have, *targets]))
+        row = f"concat_ws('-', hex(xxhash64(1, {', '.join(held)})), hex(xxhash64(2, {', '.join(held)})))"
+        asked = df.where(lacking).selectExpr(f"{row} AS {name_sql(key)}", *[h for h in held if h != name_sql(key)]).distinct()
         space = Space(
             [c for c in self["numeric"] if c in have], [c for c in self["text"] if c in have], self["ranges"]
         )
@@ -295,12 +298,12 @@ class NeighbourImputeModel(_FittedWithParts):
         values = (
             near.groupBy(key)
             .pivot("target", targets)
-            .agg(exact_avg("value"))
+            .agg(few_avg("value"))
             .selectExpr(f"{name_sql(key)} AS _key", *[f"{name_sql(c)} AS {name_sql('_fill_' + c)}" for c in targets])
         )
         # Searched once, however often the result is read.
         values = materialise(values, "imputed")
-        joined = df.join(values, quoted(key).cast("string") == F.col("_key"), "left")
+        joined = df.join(values, F.expr(row) == F.col("_key"), "left")
         return joined.selectExpr(
             *[
                 f"coalesce(CAST({name_sql(c)} AS DOUBLE), {name_sql('_fill_' + c)}) AS {name_sql(c)}" if c in targets
@@ -358,9 +361,12 @@ def power_likelihoods(counts: DataFrame, candidates: dict[str, list[float]], mid
     )
 
 
-def best_powers(df: DataFrame, columns: Sequence[str], tries: Sequence[int] = (11, 9, 9)) -> dict[str, float]:
+def best_powers(
+    df: DataFrame, columns: Sequence[str], tries: Sequence[int] = (11, 9, 9), least_values: int = 5
+) -> dict[str, float]:
     """The most likely power of each column in [-5, 5]: ever finer grids, then the top of a parabola.
 
+    Columns with fewer than ``least_values`` different values are left alone.
     Equal values are counted once, before the grids: columns of mostly zeros shrink to a few rows.
     """
     cells = long_cells(df, columns, "x", cast="double").where("x IS NOT NULL")
@@ -369,7 +375,7 @@ def best_powers(df: DataFrame, columns: Sequence[str], tries: Sequence[int] = (1
     counts = materialise(counts.repartition(range_count(df)), "values")
     middles = {
         r.feature: r.m
-        for r in counts.groupBy("feature").agg((F.sum(F.expr("n * x")) / F.sum("n")).alias("m"), (F.min("x") < F.max("x")).alias("varies"))
+        for r in counts.groupBy("feature").agg((F.sum(F.expr("n * x")) / F.sum("n")).alias("m"), (F.count(F.lit(1)) >= max(2, least_values)).alias("varies"))
         .where("varies").collect()
     }
     low = {c: POWER_LOW for c in middles}
@@ -582,6 +588,8 @@ def smote(
 ) -> DataFrame:
     """Add rows between minority rows and their neighbours until each class has ``over_ratio`` times the largest.
 
+    Rows whose numbers are all missing have no neighbour; the others make up for them.
+
     The key becomes text; new rows have the key of their first parent and a running number.
     Other columns than the numeric ones are missing in new rows.
     """
@@ -601,14 +609,21 @@ def smote(
     near = nearest_rows(
         small, small, key, Space(numeric, euclidean=True), neighbours, within=target, cell_rows=cell_rows
     )
-    per_row = F.lit(0)
-    rest = F.lit(0)
-    for c, n in missing.items():
-        hit = quoted(target) == F.lit(c)
-        per_row = F.when(hit, F.lit(n // sizes[c])).otherwise(per_row)
-        rest = F.when(hit, F.lit(n % sizes[c])).otherwise(rest)
-    ranked = hashed_rank(small, key, [target], seed=seed, name="_rank")
-    copies = ranked.withColumn("_copies", per_row + (F.col("_rank") <= rest).cast("int"))
+    # Rows without a neighbour, for want of numbers, make no copies: the others make theirs.
+    near = materialise(near, "neighbours")
+    able = small.join(near.select(quoted(key).alias("_able")).distinct(), quoted(key) == F.col("_able"), "left_semi")
+    shares = {r[target]: r["count"] for r in able.groupBy(target).count().collect()}
+    without = [c for c in missing if c not in shares]
+    if without:
+        raise ValueError(f"classes in which no row has a neighbour: {without}")
+    kind = df.schema[target].dataType.simpleString()
+    plan = df.sparkSession.createDataFrame(
+        [(c, n // shares[c], n % shares[c]) for c, n in missing.items()], f"_class {kind}, _per_row long, _rest long"
+    )
+    ranked = hashed_rank(able, key, [target], seed=seed, name="_rank")
+    copies = ranked.join(plan, quoted(target) == F.col("_class")).withColumn(
+        "_copies", (F.col("_per_row") + (F.col("_rank") <= F.col("_rest")).cast("long")).cast("int")
+    ).drop("_class", "_per_row", "_rest")
     parents = copies.where(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     found = near.groupBy(key).agg(F.count(F.lit(1)).alias("_found")).withColumnRenamed(key, "_first")
     draw = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), quoted(key), F.col("_copy"))
