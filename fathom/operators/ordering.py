@@ -25,18 +25,19 @@ def range_count(df: DataFrame) -> int:
     return max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def split_points(df: DataFrame, column: str, parts: int | None = None) -> list:
+def split_points(df: DataFrame, column: str, parts: int | None = None, groups: Sequence[str] = ()) -> list:
     """At most ``parts - 1`` increasing values that cut the rows of ``df`` into similar shares.
 
-    Taken from a fixed-size sample chosen by hash. They only steer the work: any points give
-    the same results.
+    Taken from a fixed-size sample chosen by hash of group and value, so that values which many
+    groups share don't crowd out those of a large group. Points only steer the work: any points
+    give the same results.
     """
     parts = parts or range_count(df)
     wanted = parts * 20
     sample = (
-        df.select(F.col(column).alias("v"))
+        df.select(F.xxhash64(*groups, column).alias("h"), F.col(column).alias("v"))
         .where(F.col("v").isNotNull())
-        .orderBy(F.xxhash64("v"))
+        .orderBy("h")
         .limit(wanted)
         .collect()
     )
@@ -95,7 +96,7 @@ def running_totals(
     once, so that split points, range totals and rows all come from the same values.
     """
     df = materialise(df, "ordered")
-    points = split_points(df, order)
+    points = split_points(df, order, groups=groups)
     cut = df.withColumn("_range", range_index(order, points))
     turn = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     joined, before, total = _lifted(cut, groups, turn("_range"), sums)

@@ -14,7 +14,6 @@ from ..operators.reshape import one_wide_row
 
 DEFAULT_TEMPERATURE = 25.73
 TAXON_NAME_WIDTH = 16
-WORKING_ROWS_PER_SAMPLE = 100000
 GLOBAL_SPECIES_NUMBER = 16433
 
 # Cruise pattern, shown name, page: fixed values. Patterns are tried in this order.
@@ -34,11 +33,12 @@ def link_rules() -> list[tuple[str, str]]:
     return [(pattern, f'<a target=_blank href="{page}">{name}</a>') for pattern, name, page in CRUISES]
 
 
-def working_table(samples: DataFrame, rows_per_sample: int = WORKING_ROWS_PER_SAMPLE) -> DataFrame:
-    """Names cut to width, the leading rows of each sample, missing temperatures replaced."""
-    named = samples.withColumn("taxon_name", truncate_text("taxon_name", TAXON_NAME_WIDTH))
-    leading = top_n_with_ties(named, ["biosample_id"], "fraction_total_reads", rows_per_sample)
-    return leading.withColumn("temperature", F.coalesce("temperature", F.lit(DEFAULT_TEMPERATURE)))
+def working_table(samples: DataFrame, rows_per_sample: int | None = None) -> DataFrame:
+    """Names cut to width and missing temperatures replaced; of each sample the leading rows, if a number is given."""
+    rows = samples.withColumn("taxon_name", truncate_text("taxon_name", TAXON_NAME_WIDTH))
+    if rows_per_sample is not None:
+        rows = top_n_with_ties(rows, ["biosample_id"], "fraction_total_reads", rows_per_sample)
+    return rows.withColumn("temperature", F.coalesce("temperature", F.lit(DEFAULT_TEMPERATURE)))
 
 
 def filtered_view(working: DataFrame, spec: FilterSpec) -> DataFrame:
