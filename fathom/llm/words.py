@@ -66,6 +66,25 @@ class Words:
     bounds: np.ndarray
 
 
+#: Bytes whose words are hashed together; a longer run without a gap is hashed as a whole.
+_PART = 1 << 21
+
+
+def _hashes(data: np.ndarray, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of every word, by parts of the text that end behind a word."""
+    found, low = [np.empty(0, np.uint64)], 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(ends, starts[low] + _PART, side="right")))
+        begin, size = starts[low], ends[high - 1] - starts[low]
+        power, inverse = _power_tables(size + 1)
+        total = np.zeros(size + 1, np.uint64)
+        np.cumsum(values[data[begin : begin + size]] * power[:size], out=total[1:])
+        first, last = starts[low:high] - begin, ends[low:high] - begin
+        found.append(mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64)))
+        low = high
+    return np.concatenate(found)
+
+
 def find_words(data: np.ndarray, offsets: np.ndarray, kind: tuple[np.ndarray, np.ndarray] = PLAIN) -> Words:
     """All words of the rows that ``offsets`` cuts ``data`` into; no word crosses rows."""
     separators, values = kind
@@ -79,12 +98,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray, kind: tuple[np.ndarray, np
     first[edges] = ~gap[edges]
     last[edges - 1] = ~gap[edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power, inverse = _power_tables(n + 1)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(values[data] * power[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    return Words(starts, ends, hashes, np.searchsorted(starts, offsets))
+    return Words(starts, ends, _hashes(data, values, starts, ends), np.searchsorted(starts, offsets))
 
 
 def sequence_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
