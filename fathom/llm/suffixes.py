@@ -75,7 +75,8 @@ def _runs(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.nd
         starts = np.flatnonzero(new)
         stops = np.append(starts[1:], size)
         starts, stops = starts[inside[starts]], stops[inside[starts]]
-        anchor = hashes[anchors[starts]]
+        # The smallest hashes of windows crowd at the low end: hashed once more, they spread evenly.
+        anchor = mix(hashes[anchors[starts]] * np.uint64(0x9E3779B97F4A7C15))
         content = mix((total[stops + length - 1] - total[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
         # The offset of the anchor tells runs apart that hold the same bytes around different anchors.
         content = mix(content + (anchors[starts] - starts).astype(np.uint64))
@@ -398,7 +399,7 @@ def repeated_stretches(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     counts = _anchor_counts(rows, length).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     repeated = materialise(counts, "anchors")
     size, runs = repeated.agg(F.count("*"), F.sum("n")).first()
-    bits = min(MAX_BITS, max(16, ceil(log2(8 * max(size, 1)))))
+    bits = min(MAX_BITS, max(16, ceil(log2(32 * max(size, 1)))))
     candidates = _candidates(rows, _bitmap(repeated, bits), bits, length)
     shards = max(1, ceil((runs or 0) * (length + 36) / SHARD_BYTES))
     removed = _removals(candidates.repartition(shards, "shard"), length)
