@@ -27,12 +27,14 @@ def read_jdbc(
     bounds: tuple[int, int] | None = None,
     partitions: int = 200,
     properties: Mapping[str, str] | None = None,
+    predicates: Sequence[str] | None = None,
 ) -> DataFrame:
-    """A relational table, read in parallel ranges of ``partition_column`` where one is given."""
-    if partition_column is None:
-        return spark.read.jdbc(url, table, properties=dict(properties or {}))
-    if bounds is None:
-        raise ValueError("a partitioned read needs the bounds of the partition column")
+    """A relational table, read by several tasks: one for each of the ``predicates``, which must share out
+    the rows, or one for each range of ``partition_column``."""
+    if predicates:
+        return spark.read.jdbc(url, table, predicates=list(predicates), properties=dict(properties or {}))
+    if partition_column is None or bounds is None:
+        raise ValueError("a table of any size is read in parts: give predicates, or a column and its bounds")
     return spark.read.jdbc(
         url,
         table,

@@ -10,6 +10,7 @@ from fathom.operators.prep import NeighbourImpute, best_powers, smote
 from fathom.plans.views import working_table
 
 from fathom.catalog.fixed_models import fixed_model
+from fathom.sources.tables import read_jdbc
 
 
 @pytest.mark.parametrize("scale", [1e-9, 1.0, 2e14])
@@ -91,3 +92,10 @@ def test_explaining_nothing_gives_nothing(spark):
     df = spark.createDataFrame([("k", 1.0, 2.0, 3.0)], "id string, a double, b double, c double")
     assert break_down(fixed_model(), df, df.where("id = 'z'"), ["a", "b", "c"], "id").count() == 0
     assert quantile_grids(df.where("id = 'z'"), ["a"]) == {"a": []}
+
+
+def test_relational_tables_are_read_in_parts(spark):
+    with pytest.raises(ValueError, match="in parts"):
+        read_jdbc(spark, "jdbc:none", "t")
+    with pytest.raises(ValueError, match="in parts"):
+        read_jdbc(spark, "jdbc:none", "t", partition_column="id")
