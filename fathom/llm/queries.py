@@ -84,7 +84,35 @@ def _suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return without_repeats(table(spark, folder, "documents"))
 
 
-@query("op7_rule_cascade")
+@query(
+    "op7_rule_cascade",
+    r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+            regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+            [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l
+        FROM documents
+    ), runs AS (
+        SELECT r, unnest(range(1, len(w) - 6)) AS i, unnest([array_to_string(w[k:k + 7], ' ') FOR k IN range(1, len(w) - 6)]) AS s
+        FROM d
+    ), again AS (
+        SELECT r, count(DISTINCT i + k) AS n FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS times FROM runs) x, range(8) o(k)
+        WHERE times > 1 GROUP BY r
+    ), m AS (
+        SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN w]), 0) AS BIGINT) AS word_chars,
+            CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+            CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+            len(l) AS n_lines, len(regexp_extract_all(t, '\p{L}')) AS letters, len(regexp_extract_all(t, '\p{Lu}')) AS capitals
+        FROM d LEFT JOIN again USING (r)
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+            OR 10 * n_symbols > 3 * n_words OR n_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines
+            OR letters >= 20 AND 10 * capitals > 6 * letters OR 10 * letters < 6 * word_chars) AS kept
+    FROM m
+    """,
+)
 def _rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
