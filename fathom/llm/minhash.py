@@ -12,8 +12,8 @@ is compared with a leader only, so pairs grow with the rows and not with the squ
 is the text whose sketches are the most widely shared: in a family of copies, mostly their original.
 One minus the similarity is a metric, so a text far from the leader (below 2 * ``similarity`` - 1) is
 linked to none of the leader's copies; one nearer that is rejected is compared with further leaders.
-All that stay rejected are dealt again, by that sketch together with each later one, and get leaders
-among themselves. Links become classes by connected components.
+All that were rejected are also dealt again, by that sketch together with each later one, and get
+leaders among themselves. Links become classes by connected components.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.session import materialise
@@ -142,14 +142,15 @@ def _shared(buckets: DataFrame) -> DataFrame:
     """Rows of buckets that hold more than one text, with ``weight``: how widely a text's buckets are shared."""
     sizes = materialise(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     rows = materialise(buckets.join(sizes, "bucket"), "shared")
-    weights = materialise(rows.groupBy("key").agg(F.sum("n").alias("weight")), "weights")
+    weights = rows.groupBy("key").agg(F.sum("n").alias("weight"))
     return materialise(rows.drop("n").join(weights, "key"), "weighted")
 
 
-def _leaders(rows: DataFrame) -> DataFrame:
-    best = rows.groupBy("bucket").agg(F.max(F.struct("weight", "key", "n_shingles")).alias("lead"))
-    best = best.select("bucket", F.col("lead.key").alias("leader"), F.col("lead.n_shingles").alias("n_leader"))
-    return materialise(best, "leaders")
+def _leaders(rows: DataFrame, most: int) -> DataFrame:
+    """The ``most`` heaviest texts of each bucket, numbered from 1; tasks keep no more before the shuffle."""
+    order = Window.partitionBy("bucket").orderBy(F.col("weight").desc(), "key")
+    first = rows.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most)
+    return materialise(first.select("bucket", "turn", F.col("key").alias("leader"), F.col("n_shingles").alias("n_leader")), "leaders")
 
 
 def near_duplicates(
@@ -188,43 +189,30 @@ def near_duplicates(
     chosen = source.join(wanted, F.expr("key = k AND doc_id <=> d"), "left_semi").dropDuplicates(["key", "doc_id"])
     shingles = materialise(_with_shingles(chosen.select("key", "text"), length), "shingles")
 
-    links, known = [], None
-    waiting, strange = members, None
-    for turn in range(leaders):
-        heads = _leaders(members)
-        members = materialise(members.join(heads, "bucket").where("key <> leader").drop("leader", "n_leader"), "members")
-        led = materialise(waiting.join(heads, "bucket").where("key <> leader"), "led")
-        pairs = led.where(near).select("key", "leader").distinct()
-        if known is not None:
-            pairs = pairs.join(known.select("key", "leader"), ["key", "leader"], "left_anti")
-        scores = _scored(materialise(pairs, "pairs"), shingles, least)
-        known = scores if known is None else known.unionByName(scores)
-        links.append(scores.where(F.col("score") >= similarity - 1e-12))
-        tested = led.join(known, ["key", "leader"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-        rejected = tested.where(F.col("score") < similarity - 1e-12).select("bucket", "key", "n_shingles", "weight", "score")
-        rejected = materialise(rejected, "rejected")
-        if turn == 0:
-            strange = rejected.where("score = 0").drop("score")
-            rejected = rejected.where("score > 0")
-        waiting = rejected.drop("score")
-    # Strangers to the first leader, and rows that no leader took, meet those that share one more sketch.
+    def against(rows: DataFrame, heads: DataFrame) -> DataFrame:
+        return rows.join(heads.drop("turn"), "bucket").where("key <> leader")
+
+    heads = _leaders(members, leaders)
+    led = against(members, heads.where("turn = 1"))
+    scores = _scored(led.where(near).select("key", "leader").distinct(), shingles, least)
+    linked = F.col("score") >= similarity - 1e-12
+    tested = led.join(scores, ["key", "leader"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    rejected = materialise(tested.where(~linked).select("bucket", "key", "n_shingles", "weight", "score"), "rejected")
+    # Near enough to be linked to a copy of the leader: further leaders. All that were rejected, also
+    # those too far from the leader: texts that share one more sketch.
+    further = against(rejected.where("score > 0"), heads.where("turn > 1"))
     again = (
-        strange.unionByName(waiting)
-        .join(texts.select("key", "sketch"), "key")
+        rejected.join(texts.select("key", "sketch"), "key")
         .withColumn("at", F.array_position("sketch", F.col("bucket")))
         .select("key", "n_shingles", F.col("bucket").alias("first"), F.expr("slice(sketch, int(at) + 1, size(sketch))").alias("later"))
         .select("key", "n_shingles", "first", F.explode("later").alias("second"))
         .select("key", "n_shingles", F.xxhash64("first", "second").alias("bucket"))
     )
-    members = _shared(again)
-    for _ in range(2):
-        heads = _leaders(members)
-        members = materialise(members.join(heads, "bucket").where("key <> leader"), "led")
-        pairs = members.where(near).select("key", "leader").distinct().join(known.select("key", "leader"), ["key", "leader"], "left_anti")
-        scores = _scored(materialise(pairs, "pairs"), shingles, least)
-        known = known.unionByName(scores)
-        links.append(scores.where(F.col("score") >= similarity - 1e-12))
-        members = members.drop("leader", "n_leader")
+    finer = _shared(again)
+    columns = ["key", "n_shingles", "leader", "n_leader"]
+    more = further.select(columns).unionByName(against(finer, _leaders(finer, 2)).select(columns))
+    more = more.where(near).select("key", "leader").distinct().join(scores.select("key", "leader"), ["key", "leader"], "left_anti")
+    links = [scores.where(linked), _scored(more, shingles, least).where(linked)]
     links = [x.select(F.col("key").alias("a"), F.col("leader").alias("b")) for x in links]
 
     edges = links[0]
