@@ -4,6 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from fathom.llm import minhash
 from fathom.llm.minhash import aligned, keep_first, labelled, near_duplicates
 from fathom.llm.store import components
 from fathom.llm.words import find_words, occurrence_labels, row_shingles
@@ -71,6 +72,44 @@ def test_classes_equal_brute_force(make):
     assert got == {i: min(c) for i, c in linked.items()}
 
 
+def brute_classes(rows):
+    known = {i: shingles(t) for i, t in rows}
+    linked = {i: {i} for i in known}
+    for a, b in combinations(known, 2):
+        if linked[a] is not linked[b] and aligned(known[a], known[b], 0.8) > 0:
+            linked[a] |= linked[b]
+            for x in linked[b]:
+                linked[x] = linked[a]
+    return {i: min(c) for i, c in linked.items()}
+
+
+def family(texts: int):
+    """One template, most texts 0.45 to 0.75 to each other; every tenth has a copy at 0.8 or more, some of these a further one."""
+    base, rows = words(41, 150), []
+    for k in range(texts):
+        own = edited(base, k, 3 + k % 4)
+        rows.append((10 * k, own))
+        if k % 10 == 0:
+            rows.append((10 * k + 1, edited(own, 9000 + k, 2)))
+            rows.append((10 * k + 2, edited(rows[-1][1], 19000 + k, 2)))
+    return rows
+
+
+def test_family_at_the_threshold_equals_brute_force(make):
+    rows = family(1000)
+    got = {r.doc_id: r.class_id for r in near_duplicates(make(rows)).collect()}
+    assert got == brute_classes(rows)
+
+
+@pytest.mark.parametrize("pairs", [64, 0])
+def test_small_blocks_and_deals_lose_no_link(make, monkeypatch, pairs):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(minhash, "BLOCK_PAIRS", pairs)
+    rows = family(100)
+    got = {r.doc_id: r.class_id for r in near_duplicates(make(rows)).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_hot_group_of_near_copies(make):
     base = words(3, 100)
     rows = [(k, edited(base, k, 1)) for k in range(300)] + [(1000 + k, base) for k in range(300)]
