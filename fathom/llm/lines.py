@@ -9,6 +9,8 @@ or a wildcard if none has the majority. A line belongs to its leaf's template if
 Templates that occur in ``min_texts`` different texts or more recur. All their lines are dropped but
 those of one text, that with the smallest document number, so nothing is lost altogether. Exact copies
 of a text count as one text and are treated alike: removing copies is another operator's work.
+A line of ``long_words`` words or more does not repeat by chance: it recurs by itself from ``long_texts``
+different texts on, equal but for variable fields, whatever its template.
 
 Counts are combined before every shuffle, and a leaf is never collected: its template comes from
 counts per place and word. Leaves worth a template are told to the tasks by a bitmap of fixed size;
@@ -29,6 +31,8 @@ from .store import fresh
 from .words import PLAIN, _power_tables, find_words, mix
 
 MIN_TEXTS = 5
+LONG_WORDS = 20
+LONG_TEXTS = 2
 SIMILARITY = 0.8
 LEADING = 3
 _BITS = 26
@@ -68,23 +72,26 @@ def parsed_lines(data: np.ndarray, offsets: np.ndarray, leading: int):
     return masked, rows, numbers, low, high, leaf, line
 
 
-def _with_lines(texts: DataFrame, leading: int) -> DataFrame:
+def _with_lines(texts: DataFrame, leading: int, long_words: int) -> DataFrame:
     def make(batch: pa.RecordBatch) -> list:
-        numbers, leaves, lines, counts = [], [], [], []
+        numbers, leaves, lines, long, counts = [], [], [], [], []
         for _, data, offsets in pieces(column_of(batch, "text")):
-            _, rows, number, _, _, leaf, line = parsed_lines(data, offsets, leading)
+            _, rows, number, low, high, leaf, line = parsed_lines(data, offsets, leading)
             numbers.append(number.astype(np.int32))
             leaves.append(leaf.view(np.int64))
             lines.append(line.view(np.int64))
+            long.append(high - low >= long_words)
             counts.append(np.bincount(rows, minlength=len(offsets) - 1))
-        counts, numbers, leaves, lines = (np.concatenate(x) for x in (counts, numbers, leaves, lines))
+        counts, numbers, leaves, lines, long = (np.concatenate(x) for x in (counts, numbers, leaves, lines, long))
         return [
             list_array(numbers, counts, pa.int32()),
             list_array(leaves, counts, pa.int64()),
             list_array(lines, counts, pa.int64()),
+            list_array(long, counts, pa.bool_()),
         ]
 
-    return add_columns(texts, "numbers array<int>, leaves array<long>, lines array<long>", make, without=("text",))
+    fields = "numbers array<int>, leaves array<long>, lines array<long>, long array<boolean>"
+    return add_columns(texts, fields, make, without=("text",))
 
 
 def _word_counts(texts: DataFrame, bitmap: np.ndarray, leading: int) -> DataFrame:
@@ -130,6 +137,13 @@ def _bitmap(leaves: DataFrame) -> np.ndarray:
     return bitmap.view(np.uint64)
 
 
+def _recurring(lines: DataFrame, name: str, least: int, label: str) -> DataFrame:
+    """Values of the column ``name`` that ``least`` texts hold, with the text that keeps its lines."""
+    holders = lines.groupBy(name, "key").agg(F.min(F.struct("late", "doc_id")).alias("first"))
+    found = holders.groupBy(name).agg(F.count("*").alias("texts"), F.min(F.struct("first", "key")).alias("keeper"))
+    return materialise(found.where(f"texts >= {least}").select(name, F.col("keeper.key").alias("keeper")), label)
+
+
 def recurring_lines(
     docs: DataFrame,
     name: str = "dropped",
@@ -138,6 +152,8 @@ def recurring_lines(
     min_texts: int = MIN_TEXTS,
     similarity: float = SIMILARITY,
     leading: int = LEADING,
+    long_words: int = LONG_WORDS,
+    long_texts: int = LONG_TEXTS,
 ) -> DataFrame:
     """``docs`` with ``name``: the numbers (from 0) of the lines to drop, null if there are none.
 
@@ -147,11 +163,11 @@ def recurring_lines(
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.unhex(F.md5(whole.cast("binary"))).alias("key"), F.col(doc_id).alias("doc_id"), whole.alias("text"))
-    first = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "numbers", "leaves", "lines")
-    texts = _with_lines(rows, leading).groupBy("key").agg(F.min(first).alias("first")).select("key", "first.*")
+    first = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "numbers", "leaves", "lines", "long")
+    texts = _with_lines(rows, leading, long_words).groupBy("key").agg(F.min(first).alias("first")).select("key", "first.*")
     lines = materialise(
         texts.where("size(numbers) > 0").select(
-            "key", "late", "doc_id", F.inline(F.arrays_zip("numbers", "leaves", "lines")).alias("number", "leaf", "line")
+            "key", "late", "doc_id", F.inline(F.arrays_zip("numbers", "leaves", "lines", "long")).alias("number", "leaf", "line", "long")
         ),
         "lines",
     )
@@ -180,16 +196,12 @@ def recurring_lines(
     named = materialise(
         known.select("key", "late", "doc_id", "number", F.coalesce(F.col("template"), F.col("line")).alias("template")), "named"
     )
-    holders = named.groupBy("template", "key").agg(F.min(F.struct("late", "doc_id")).alias("first"))
-    recurring = (
-        holders.groupBy("template")
-        .agg(F.count("*").alias("texts"), F.min(F.struct("first", "key")).alias("keeper"))
-        .where(f"texts >= {min_texts}")
-        .select("template", F.col("keeper.key").alias("keeper"))
-    )
-    recurring = materialise(recurring, "recurring")
-    gone = named.join(recurring, "template").where("key <> keeper")
-    lists = materialise(gone.groupBy("key").agg(F.sort_array(F.collect_list("number")).alias("numbers")), "drops")
+    recurring = _recurring(named, "template", min_texts, "recurring")
+    gone = named.join(recurring, "template").where("key <> keeper").select("key", "number")
+    long = lines.where("long")
+    again = _recurring(long, "line", min(min_texts, long_texts), "long-recurring")
+    gone = gone.unionByName(long.join(again, "line").where("key <> keeper").select("key", "number"))
+    lists = materialise(gone.groupBy("key").agg(F.sort_array(F.collect_set("number")).alias("numbers")), "drops")
     marked = fresh(docs, "text_key")
     out = docs.drop(*[c for c in docs.columns if c.lower() == name.lower()])
     out = out.withColumn(marked, F.unhex(F.md5(whole.cast("binary"))))

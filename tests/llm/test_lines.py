@@ -74,6 +74,21 @@ def test_dropped_lines_equal_brute_force(make):
     assert sum(len(r.dropped or []) for r in got) > 100
 
 
+def test_long_line_of_two_texts(make):
+    passage, other = words(70, 60), words(71, 60)
+    rows = [(k, f"{words(800 + k, 30)}\n{words(900 + k, 30)}") for k in range(6)]
+    for k in (2, 4):
+        rows[k] = (k, f"{rows[k][1]}\n{passage}\nnot a long line")
+    rows += [(10, f"{other} 1.1.2024\n{words(810, 30)}"), (11, f"{words(811, 30)}\n{other} 2.1.2024"), (11, rows[1][1])]
+    # A template of few texts does not hide an equal line in it.
+    near = passage.split()
+    near[30] = "changed"
+    rows.append((12, f"{words(812, 30)}\n{' '.join(near)}"))
+    rows += [(20 + k, f"{words(820 + k, 30)}\n{passage.split()[0]} {passage.split()[1]} {passage.split()[2]} {words(830 + k, 57)}") for k in range(3)]
+    got = {(r.doc_id, r.text): r.dropped for r in recurring_lines(make(rows)).collect()}
+    assert {k: v for k, v in got.items() if v} == {rows[4]: [2], (11, rows[7][1]): [1]}
+
+
 def test_lines_are_parsed():
     import pyarrow as pa
 
