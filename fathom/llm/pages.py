@@ -40,6 +40,8 @@ BESIDE_NAMES = frozenset(
     " signup login form search searchbox comment comments commentlist disqus reply replies respond discussion"
     " share sharing social follow related recommended recommendations trending popular tags taglist hidden".split()
 )
+#: Names that hold even for an element with most of the page's words.
+FINAL_NAMES = frozenset("comment comments commentlist disqus replies respond discussion hidden cookie cookies consent gdpr modal popup".split())
 ARTICLE_NAMES = frozenset("article content post story entry main body text articlebody postcontent".split())
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -155,8 +157,9 @@ class Block:
     item: bool
 
 
-def _marks(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
-    """Whether an element is marked as beside an article, and whether as an article."""
+def _marks(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool, bool, bool]:
+    """Whether an element is beside an article for good, whether as an article, whether beside by name only, whether <article> or main."""
+    named, roles = False, set()
     beside = tag in BESIDE_TAGS or tag == "header" and not inside_article
     article = tag in ARTICLE_TAGS
     if attributes and tag not in ("html", "body"):
@@ -168,16 +171,24 @@ def _marks(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]
                 beside |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
             elif name in ("class", "id", "role"):
                 parts = {p.lower() for p in _WORD_PARTS.findall(value)}
+                if name == "role":
+                    roles.add(value.lower())
+                    article |= value.lower() == "main"
                 if not article:
-                    beside |= not parts.isdisjoint(BESIDE_NAMES)
+                    beside |= not parts.isdisjoint(FINAL_NAMES)
+                    named |= not parts.isdisjoint(BESIDE_NAMES)
                 article |= not parts.isdisjoint(ARTICLE_NAMES)
-    return beside, article and not beside
+    return beside, article and not beside, named and not beside, tag in ARTICLE_TAGS or "main" in roles
 
 
 def text_blocks(html: str) -> list[Block]:
     """The page's blocks in order. Unclosed and wrongly nested elements end with the element around them."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    # Tag, beside, article, innermost element around that only a name marks as beside, innermost <article> or main; 0 is none.
+    stack: list[tuple[str, bool, bool, int, int]] = []
+    around: list[tuple[int, int]] = []
+    named: dict[int, tuple[int, bool]] = {}
+    main: dict[int, tuple[int, int]] = {}
     parts: list[str] = []
     link_parts: list[str] = []
     links, at, size = 0, 0, len(html)
@@ -186,8 +197,9 @@ def text_blocks(html: str) -> list[Block]:
         words = "".join(parts).split()
         if words:
             text = " ".join(words)
-            _, beside, article = stack[-1] if stack else ("", False, False)
-            tags = {t for t, _, _ in stack[-4:]}
+            _, beside, article, name, holder = stack[-1] if stack else ("", False, False, 0, 0)
+            tags = {t for t, *_ in stack[-4:]}
+            around.append((name, holder))
             beside = beside or not article and len(words) < 40 and _RIGHTS.match(text) is not None
             linked = min(len(words), len("".join(link_parts).split()))
             blocks.append(Block(text, len(words), linked, beside, article, not tags.isdisjoint(HEADINGS), "li" in tags))
@@ -246,13 +258,50 @@ def text_blocks(html: str) -> list[Block]:
                 stack.pop()
             if stack and stack[-1][0] == tag and tag in ("li", "td", "th", "tr", "dt", "dd", "option"):
                 stack.pop()
-            _, beside, article = stack[-1] if stack else ("", False, False)
+            _, beside, article, name, holder = stack[-1] if stack else ("", False, False, 0, 0)
             mine = _marks(tag, attributes, article)
-            stack.append((tag, beside or mine[0], article or mine[1]))
+            if mine[3] and not mine[0]:
+                main[at] = holder, name
+                holder = at
+            if mine[2]:
+                named[at] = name, mine[1]
+                name = at
+            stack.append((tag, beside or mine[0], article or mine[1] and not mine[2], name, holder))
     flush()
+    if named:
+        _settle_names(blocks, around, named, main)
     return blocks
 
 
+def _settle_names(blocks: list[Block], around: list, named: dict[int, tuple[int, bool]], main: dict[int, tuple[int, int]]) -> None:
+    """Marks by name hold but for elements with most of the page's unlinked words or with its longest article."""
+    inside, articles, total = dict.fromkeys(named, 0), dict.fromkeys(main, 0), 0
+    for b, (name, holder) in zip(blocks, around):
+        if not b.beside:
+            plain = b.words - b.link_words
+            total += plain
+            if name:
+                inside[name] += plain
+            if holder:
+                articles[holder] += plain
+    # Inner elements stand behind outer ones: one pass from the end adds them up.
+    for words, outer in ((inside, named), (articles, main)):
+        for k in reversed(outer):
+            if outer[k][0]:
+                words[outer[k][0]] += words[k]
+    void = {k for k, n in inside.items() if 2 * n > total}
+    if articles:
+        k = main[max(articles, key=articles.get)][1]
+        while k:
+            void.add(k)
+            k = named[k][0]
+    state = {0: (False, False)}
+    for k, (outer, article) in named.items():
+        state[k] = state[outer][0] or k not in void, state[outer][1] or article and k in void
+    for b, (name, _) in zip(blocks, around):
+        b.beside, b.article = b.beside or state[name][0], b.article or state[name][1]
+
+
 def main_text(html: str, tree: Node) -> str:
     """The blocks that the tree calls content, joined by spaces."""
     blocks = text_blocks(html)

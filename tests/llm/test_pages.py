@@ -30,6 +30,16 @@ def test_page_without_marks():
     assert main_text(page, TREE) == f"{words(12, 6)} {A} {B}"
 
 
+def test_wrappers_with_names_of_what_stands_beside():
+    side = f"<div class='sidebar'><article class='card'><p>{words(14, 12)}</p></article></div>"
+    comments = f"<section id='comments'><article><p>{words(15, 200)}</p></article></section>"
+    for wrapper in ("<div class='layout has-sidebar'>", "<div class='tabs'>", "<div id='main-widget'>"):
+        for inner in (f"<article><p>{A}</p><p>{B}</p></article>", f"<main><p>{A}</p><p>{B}</p></main>", f"<div role=main><p>{A}</p><p>{B}</p></div>"):
+            assert main_text(f"<body>{wrapper}{inner}{side}</div>{comments}</body>", TREE) == f"{A} {B}"
+    assert main_text(f"<div class='elementor-widget'><p>{A}</p><p>{B}</p></div>", TREE) == f"{A} {B}"
+    assert main_text(f"<p>{A}</p><p>{B}</p><div class='widget'><p>{C}</p></div>", TREE) == f"{A} {B}"
+
+
 def test_broken_markup():
     assert main_text(f"<article><p>{A}<p>{B}", TREE) == f"{A} {B}"
     assert main_text(f"<article><p title='a > b'>{A} < 5 & more</p><!-- open", TREE) == f"{A} < 5 & more"
