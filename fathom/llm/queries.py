@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
+from . import checks
+from .audit import audit
 from .decontamination import find_leaks
 from .lines import recurring_lines, without_lines
 from .minhash import near_duplicates
 from .mixing import mix
 from .pages import with_main_text
 from .quality import fit, held_out, with_score
+from .resampling import resample
 from .rules import BASE, PROSE, cascade
 from .secrets import find_secrets, labelled_samples, span_list, train
 from .suffixes import without_repeats
@@ -159,6 +162,18 @@ def _archives(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op11_importance_resampling", checks.RESAMPLED)
+def _resampled(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's weight and score towards the benchmark texts, and its place in the draw."""
+    return resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op12_filter_audit", checks.AUDITED)
+def _audited(spark: SparkSession, folder: str) -> DataFrame:
+    """What each of five filters removes at each place of each of their orders, by source."""
+    return audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     CHECKS["pipeline"] = corpus_pipeline.ORACLE_SQL

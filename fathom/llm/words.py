@@ -70,7 +70,7 @@ class Words:
 _PART = 1 << 21
 
 
-def _hashes(data: np.ndarray, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The hash of every word, by parts of the text that end behind a word."""
     found, low = [np.empty(0, np.uint64)], 0
     while low < len(starts):
@@ -98,7 +98,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray, kind: tuple[np.ndarray, np
     first[edges] = ~gap[edges]
     last[edges - 1] = ~gap[edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return Words(starts, ends, _hashes(data, values, starts, ends), np.searchsorted(starts, offsets))
+    return Words(starts, ends, span_hashes(data, values, starts, ends), np.searchsorted(starts, offsets))
 
 
 def sequence_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
