@@ -12,6 +12,7 @@ import corpus_pipeline
 from . import checks
 from .audit import audit
 from .decontamination import find_leaks
+from .jaccard import jaccard_components
 from .lines import recurring_lines, without_lines
 from .minhash import near_duplicates
 from .mixing import mix
@@ -174,6 +175,12 @@ def _audited(spark: SparkSession, folder: str) -> DataFrame:
     return audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op13_jaccard_join")
+def _jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's component under links of 90 per cent of their three-word shingles."""
+    return jaccard_components(table(spark, folder, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     CHECKS["pipeline"] = corpus_pipeline.ORACLE_SQL
