@@ -12,8 +12,8 @@ from ..operators.explain import (
     residuals_by_feature, row_profiles, shapley,
 )
 from ..operators.metrics import (
-    binary_leaderboard, class_metrics, confusion, gain_lift, leaderboard_long, performance_pack, regression_metrics,
-    roc_auc, roc_curves, threshold_table,
+    binary_leaderboard, class_metrics, confusion, gain_lift, leaderboard_long, multiclass_auc, performance_pack,
+    regression_metrics, roc_auc, roc_curves, threshold_table,
 )
 from ..operators.models import (
     PREDICTED, bagged_trees, boosted_trees, compare_resampling, fit_resamples, last_fit, lasso_multinomial, load_model,
@@ -387,6 +387,31 @@ def _(ws):
     return rounded_metrics(roc_auc(ws["scored"], ["model_id"]), ["auc"], 8)
 
 
+LANGUAGES = {"de": 7, "en": 3, "es": 13, "fr": 11}
+PAIRS_SQL = " UNION ALL ".join(
+    f"SELECT source, '{level}' AS own, CAST((n_chars * {k}) % 100 AS DOUBLE) / 100 AS score, lang FROM documents WHERE lang IN ('de', 'en', 'es', 'fr')"
+    for level, k in LANGUAGES.items()
+)
+
+
+@query(
+    "e5_multiclass",
+    f"WITH cells AS (SELECT source, own, score, lang, COUNT(*) AS n FROM ({PAIRS_SQL}) c GROUP BY source, own, score, lang), "
+    "sizes AS (SELECT source, own, lang, SUM(n) AS n FROM cells GROUP BY source, own, lang), "
+    "shares AS (SELECT a.source, a.own, b.lang, CAST(SUM(CASE WHEN a.score > b.score THEN a.n * b.n WHEN a.score = b.score THEN a.n * b.n * 0.5 ELSE 0 END) AS DOUBLE) AS above "
+    "FROM cells a JOIN cells b ON a.source IS NOT DISTINCT FROM b.source AND a.own = b.own WHERE a.lang = a.own AND b.lang <> a.own GROUP BY a.source, a.own, b.lang) "
+    f"SELECT d.source, {rounded('AVG(s.above / (CAST(a.n AS DOUBLE) * b.n))', 8)} AS auc FROM (SELECT DISTINCT source FROM cells) d "
+    "LEFT JOIN shares s ON s.source IS NOT DISTINCT FROM d.source "
+    "LEFT JOIN sizes a ON a.source IS NOT DISTINCT FROM s.source AND a.own = s.own AND a.lang = s.own "
+    "LEFT JOIN sizes b ON b.source IS NOT DISTINCT FROM s.source AND b.own = s.own AND b.lang = s.lang GROUP BY d.source",
+)
+def _(ws):
+    chance = [(((F.col("n_chars") * k) % 100).cast("double") / 100).alias(f"p_{v}") for v, k in LANGUAGES.items()]
+    df = ws["documents"].select("source", "lang", *chance)
+    df = df.where(F.col("lang").isin(*LANGUAGES))
+    return rounded_metrics(multiclass_auc(df, "lang", {v: f"p_{v}" for v in LANGUAGES}, ["source"]), ["auc"], 8)
+
+
 RATES = ("tpr", "fpr", "precision", "recall")
 THRESHOLD_SQL = (
     "SELECT model_id, score AS threshold, "

@@ -104,6 +104,39 @@ def roc_auc(scored: DataFrame, models: Sequence[str], truth: str = "truth", scor
     return table.select(*models, "auc")
 
 
+def multiclass_auc(df: DataFrame, truth: str, probabilities: dict[str, str], groups: Sequence[str] = ()) -> DataFrame:
+    """One row per group: ``auc``, the mean over all pairs of classes of how well their scores part them.
+
+    ``probabilities`` maps each class to its score column. In a pair both scores count alike: that of each
+    class is asked how often its own rows score above the other's, equal scores counting half. Every
+    pair comes from one table of class counts per (score column, score) and its running totals. Pairs
+    with a class that a group lacks are left out, and so are rows without a truth or a score.
+    """
+    levels = list(probabilities)
+    counts = [f"n_{i}" for i in range(len(levels))]
+    names = F.array(*[F.lit(v) for v in levels])
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("own"), F.col(c).cast("double").alias("score")) for i, c in enumerate(probabilities.values())
+    ])
+    known = df.select(*groups, (F.array_position(names, F.col(truth)) - 1).cast("int").alias("class"), F.inline(cells))
+    table = (
+        known.where("class >= 0 AND score IS NOT NULL")
+        .groupBy(*groups, "own", "score")
+        .agg(*[F.count_if(F.col("class") == i).alias(c) for i, c in enumerate(counts)])
+    )
+    totals = running_totals(table, [*groups, "own"], "score", counts)
+    mine = F.element_at(F.array(*counts), F.col("own") + 1).cast("double")
+    below = [F.col(f"cum_{c}") - F.col(c) * 0.5 for c in counts]
+    sums = totals.groupBy(*groups, "own").agg(
+        F.array(*[F.sum(mine * b) for b in below]).alias("above"), F.array(*[F.max(f"all_{c}") for c in counts]).alias("sizes")
+    )
+    pairs = sums.select(*groups, "own", "sizes", F.posexplode("above").alias("other", "above"))
+    size = lambda c: F.element_at("sizes", F.col(c) + 1)
+    shares = pairs.where("own <> other").withColumn("share", F.try_divide("above", size("own") * size("other")))
+    mean = F.avg("share").alias("auc")
+    return shares.groupBy(*groups).agg(mean) if groups else shares.agg(mean)
+
+
 def confusion(df: DataFrame, truth: str, predicted: str, groups: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*groups, truth, predicted).agg(F.count(F.lit(1)).alias("n"))
 

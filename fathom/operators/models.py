@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import name_sql, names_sql, quoted, with_expressions
 from ..session import materialise
-from .metrics import binary_leaderboard, class_metrics, regression_metrics, roc_auc
+from .metrics import binary_leaderboard, class_metrics, multiclass_auc, regression_metrics, roc_auc
+from .penalty import lasso_path
 from .prep import _Settings
 from .resample import summarise_metrics, with_folds
 from .reshape import lengthen
@@ -95,10 +96,8 @@ def model_recipe(
 
 
 def with_label(df: DataFrame, outcome: str, labels: Sequence[str]) -> DataFrame:
-    code = F.lit(None).cast("double")
-    for i, v in enumerate(labels):
-        code = F.when(quoted(outcome) == F.lit(v), F.lit(float(i))).otherwise(code)
-    return df.withColumn("_label", code)
+    place = F.array_position(F.array(*[F.lit(v) for v in labels]), quoted(outcome))
+    return df.withColumn("_label", F.nullif(place, F.lit(0)).cast("double") - 1.0)
 
 
 def class_levels(df: DataFrame, outcome: str, limit: int = 200) -> list:
@@ -288,10 +287,9 @@ def _figures(predicted: DataFrame, outcome: str, labels: Sequence | None) -> Dat
 
 
 def with_true_probability(df: DataFrame, outcome: str, labels: Sequence, name: str = "_true") -> DataFrame:
-    value = F.lit(None).cast("double")
-    for v in labels:
-        value = F.when(quoted(outcome) == F.lit(v), quoted(probability_name(v))).otherwise(value)
-    return df.withColumn(name, value)
+    place = F.array_position(F.array(*[F.lit(v) for v in labels]), quoted(outcome))
+    chances = F.array(*[quoted(probability_name(v)) for v in labels])
+    return df.withColumn(name, F.get(chances, (place - 1).cast("int")))
 
 
 # --- resampling and tuning ---------------------------------------------------------------------
@@ -303,7 +301,9 @@ def fold_figures(
     """metric and value per group of holdout predictions."""
     figures = class_metrics(with_true_probability(predicted, outcome, labels), outcome, PREDICTED, groups, "_true")
     if len(labels) != 2:
-        return figures
+        columns = {v: probability_name(v) for v in labels}
+        auc = multiclass_auc(predicted, outcome, columns, groups)
+        return figures.unionByName(auc.select(*groups, F.lit("roc_auc").alias("metric"), F.col("auc").alias("value")))
     scored = predicted.select(
         *groups,
         (quoted(outcome) == F.lit(labels[1])).cast("int").alias("truth"),
@@ -324,15 +324,11 @@ def fit_resamples(
 
 def tune_penalty(
     df: DataFrame, penalties: Sequence[float], features: Sequence[str], outcome: str, labels: Sequence, v: int, key: str,
-    fold: str = "fold", parallelism: int = 4,
+    fold: str = "fold",
 ) -> DataFrame:
-    """penalty, metric, fold, value of the lasso classifier over a grid; all predictions measured at once."""
-    keep = [fold, key, outcome, PREDICTED, *[probability_name(x) for x in labels]]
-    predicted = None
-    for p in penalties:
-        recipe = lambda p=p: model_recipe(lasso_multinomial(p), features, outcome, labels)
-        part = fold_predictions(df, recipe, range(v), keep, fold, parallelism).withColumn("penalty", F.lit(float(p)))
-        predicted = part if predicted is None else predicted.unionByName(part)
+    """penalty, metric, fold, value of the lasso classifier over a grid; one path holds all penalties and folds."""
+    path = lasso_path(df, features, outcome, labels, penalties, fold, v)
+    predicted = path.predict(df, [fold, key, outcome], fold=fold)
     return fold_figures(materialise(predicted, "tuning"), outcome, labels, ["penalty", fold])
 
 
