@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
@@ -11,14 +14,16 @@ from ..operators.explain import (
     accumulated_dependence, break_down, explained, importance_summary, partial_dependence, permutation_importance,
     residuals_by_feature, row_profiles, shapley,
 )
+from ..operators.fold_recipe import fit_fold_recipe
 from ..operators.metrics import (
     binary_leaderboard, class_metrics, confusion, gain_lift, leaderboard_long, multiclass_auc, performance_pack,
     regression_metrics, roc_auc, roc_curves, threshold_table,
 )
 from ..operators.models import (
-    PREDICTED, bagged_trees, boosted_trees, compare_resampling, fit_resamples, last_fit, lasso_multinomial, load_model,
-    logistic_formula, model_recipe, save_model, score, score_long, scoring_rows, search, tune_penalty, with_label,
+    PREDICTED, bagged_trees, boosted_trees, compare_resampling, fit_prepared, fit_resamples, fold_figures, load_model,
+    logistic_formula, model_recipe, save_model, score, score_long, scoring_rows, search, with_label,
 )
+from ..operators.penalty import lasso_path, lasso_violations
 from ..operators.resample import (
     labelled_splits, penalty_grid, random_split, select_best, select_by_one_std_err, summarise_metrics, with_folds,
     with_spatial_folds, with_split, with_stratified_split,
@@ -102,16 +107,17 @@ def documents(ws):
 
 
 CLASSES = ["clean", "toxic"]
+FOLDS = 10
 
 
 def _resampled(ws, spatial: bool):
     df = with_label(documents(ws), "class", CLASSES)
     folded = (
-        with_spatial_folds(df, "doc_id", ["n_chars", "n_lines"], v=3) if spatial
-        else with_folds(df, "doc_id", 3, strata="class")
+        with_spatial_folds(df, "doc_id", ["n_chars", "n_lines"], v=FOLDS) if spatial
+        else with_folds(df, "doc_id", FOLDS, strata="class")
     )
     recipe = lambda: model_recipe(LogisticRegression(regParam=0.01), TEXT_FEATURES, "class", CLASSES)
-    return fit_resamples(materialise(folded, "folds"), recipe, "class", CLASSES, 3, "doc_id")
+    return fit_resamples(materialise(folded, "folds"), recipe, "class", CLASSES, FOLDS, "doc_id")
 
 
 @query("c6_fit_resamples")
@@ -119,6 +125,77 @@ def _(ws):
     return summarise_metrics(ws.keep("resamples_random", lambda: _resampled(ws, False)))
 
 
+# Rows of the recipe inside folds: numbers with gaps, and categories that are rare in some folds.
+GAPS_SQL = (
+    f"(SELECT *, CAST((ROW_NUMBER() OVER (PARTITION BY class ORDER BY {HASH_SQL.format(key='doc_id')}, doc_id) - 1) % 10 AS INTEGER) AS fold FROM "
+    "(SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'toxic' ELSE 'clean' END AS class, d.lang, d.source, "
+    "CASE WHEN d.doc_id % 7 = 0 THEN NULL ELSE CAST(d.n_chars AS DOUBLE) END AS n_chars, CAST(l.quality AS DOUBLE) AS quality "
+    "FROM documents d JOIN labels l ON d.doc_id = l.doc_id) g)"
+)
+
+
+def _fold_recipe(ws):
+    def build():
+        known = ws["labels"].join(ws["documents"], "doc_id").select(
+            "doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("class"), "lang", "source",
+            F.when(F.col("doc_id") % 7 != 0, F.col("n_chars").cast("double")).alias("n_chars"),
+            F.col("quality").cast("double").alias("quality"),
+        )
+        folded = materialise(with_folds(known, "doc_id", FOLDS, strata="class", method="arithmetic"), "folds")
+        return folded, fit_fold_recipe(folded, "class", "doc_id", ["n_chars", "quality"], ["lang", "source"], FOLDS, threshold=0.05)
+
+    return ws.keep("fold_recipe", build)
+
+
+@query(
+    "c6_fold_statistics",
+    f"WITH g AS (SELECT * FROM {GAPS_SQL} x), s AS (SELECT CAST(UNNEST(RANGE(0, 10)) AS INTEGER) AS split_id), t AS (SELECT * FROM s, g WHERE fold <> split_id), "
+    "levels AS (SELECT split_id, feature, value, COUNT(*) AS n, SUM(COUNT(*)) OVER (PARTITION BY split_id, feature) AS total FROM "
+    "(SELECT split_id, 'lang' AS feature, lang AS value FROM t UNION ALL SELECT split_id, 'source', source FROM t) y WHERE value IS NOT NULL GROUP BY split_id, feature, value) "
+    + " UNION ALL ".join(
+        f"SELECT split_id, '{c}' AS feature, {rounded(f'AVG({c})', 6)} AS mean, {rounded(f'STDDEV_SAMP({c})', 6)} AS deviation, CAST(NULL AS VARCHAR) AS levels FROM t GROUP BY split_id"
+        for c in ("n_chars", "quality")
+    )
+    + " UNION ALL SELECT split_id, feature, NULL, NULL, COALESCE(STRING_AGG(value, ',' ORDER BY value) FILTER (n >= 0.05 * total), '') FROM levels GROUP BY split_id, feature",
+)
+def _(ws):
+    """What the training rows of each fold say, without a pass per fold."""
+    _, recipe = _fold_recipe(ws)
+    return recipe.statistics(ws.spark).withColumns({c: round_half_up(c, 6) for c in ("mean", "deviation")})
+
+
+def _balanced(ws):
+    def build():
+        folded, recipe = _fold_recipe(ws)
+        return materialise(recipe.balanced(folded), "balanced")
+
+    return ws.keep("balanced", build)
+
+
+@query(
+    "c6_balanced",
+    f"WITH g AS (SELECT * FROM {GAPS_SQL} x), s AS (SELECT CAST(UNNEST(RANGE(0, 10)) AS INTEGER) AS split_id), "
+    "n AS (SELECT split_id, class, COUNT(*) FILTER (fold <> split_id) AS own, COUNT(*) FILTER (fold = split_id) AS held FROM s, g GROUP BY split_id, class) "
+    "SELECT split_id, class, 'Analysis' AS part, MAX(own) OVER (PARTITION BY split_id) AS n, MAX(own) OVER (PARTITION BY split_id) - own AS n_synthetic, own AS n_keys FROM n "
+    "UNION ALL SELECT split_id, class, 'Assessment', held, 0, held FROM n WHERE held > 0",
+)
+def _(ws):
+    """Rows of each class in the parts of each fold: training rows are balanced, assessment rows untouched."""
+    real = F.when(~F.col("synthetic"), F.col("doc_id"))
+    return _balanced(ws).groupBy("split_id", "class", "part").agg(
+        F.count("*").alias("n"), F.count_if("synthetic").alias("n_synthetic"), F.count_distinct(real).alias("n_keys")
+    )
+
+
+@query("c6_fit_balanced")
+def _(ws):
+    """Bagged trees over ten folds, trained on balanced rows and assessed on rows as they are."""
+    _, recipe = _fold_recipe(ws)
+    ready = materialise(with_label(_balanced(ws), "class", CLASSES), "balanced-labels")
+    trees = lambda: model_recipe(bagged_trees(), recipe.features, "class", CLASSES)
+    return summarise_metrics(fit_prepared(ready, trees, "class", CLASSES, FOLDS, "doc_id"))
+
+
 @query("c7_compare_resampling")
 def _(ws):
     return compare_resampling(
@@ -126,10 +203,48 @@ def _(ws):
     )
 
 
+# 20 penalties from 1e-5 to 1, for more than two classes.
+PENALTIES = penalty_grid(-5, 0, 20)
+GRID_SQL = "(SELECT k + 1 AS level, POWER(10.0::DOUBLE, -5 + 5.0::DOUBLE * k / 19) AS penalty FROM (SELECT UNNEST(RANGE(0, 20)) AS k) r)"
+FOLDED_SQL = (
+    f"(SELECT d.doc_id, lang, CAST((ROW_NUMBER() OVER (PARTITION BY lang ORDER BY {HASH_SQL.format(key='d.doc_id')}, d.doc_id) - 1) % {FOLDS} AS INTEGER) AS fold "
+    "FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
+)
+
+
+def _languages(ws):
+    return ws.keep("languages", lambda: sorted(r.lang for r in documents(ws).select("lang").where("lang IS NOT NULL").distinct().collect()))
+
+
+def _language_folds(ws):
+    return ws.keep(
+        "language_folds",
+        lambda: materialise(with_folds(documents(ws), "doc_id", FOLDS, strata="lang", method="arithmetic"), "folds"),
+    )
+
+
+@query(
+    "c8_penalty_grid",
+    f"SELECT CAST(level AS INTEGER) AS level, {rounded('penalty', 9)} AS penalty, fold, CAST(SUM(n) OVER (PARTITION BY level) - n AS BIGINT) AS n_train, n AS n_held "
+    f"FROM {GRID_SQL} g, (SELECT fold, COUNT(*) AS n FROM {FOLDED_SQL} x GROUP BY fold) f",
+)
+def _(ws):
+    """The fits that tuning makes: every penalty of the grid with every fold, and the rows they see."""
+    grid = F.array(*[F.struct(F.lit(k + 1).alias("level"), F.lit(p).alias("penalty")) for k, p in enumerate(PENALTIES)])
+    folded = _language_folds(ws)
+    sizes = folded.groupBy("fold").agg(F.count("*").alias("n_held")).withColumn("all", F.lit(folded.count()))
+    fits = sizes.select("*", F.inline(grid))
+    return fits.select("level", round_half_up("penalty", 9).alias("penalty"), "fold", (F.col("all") - F.col("n_held")).alias("n_train"), "n_held")
+
+
+def _path(ws):
+    return ws.keep("path", lambda: lasso_path(_language_folds(ws), TEXT_FEATURES, "lang", _languages(ws), PENALTIES, "fold", FOLDS))
+
+
 def _tuned(ws):
     def build():
-        df = materialise(with_folds(with_label(documents(ws), "class", CLASSES), "doc_id", 3, strata="class"), "folds")
-        by_fold = tune_penalty(df, penalty_grid(-5, 0, 4), TEXT_FEATURES, "class", CLASSES, 3, "doc_id")
+        predicted = _path(ws).predict(_language_folds(ws), ["fold", "doc_id", "lang"], fold="fold")
+        by_fold = fold_figures(materialise(predicted, "tuning"), "lang", _languages(ws), ["penalty", "fold"])
         return materialise(summarise_metrics(by_fold, ["penalty"]), "tuned")
 
     return ws.keep("tuned", build)
@@ -140,6 +255,33 @@ def _(ws):
     return _tuned(ws)
 
 
+@query(
+    "c9_holdout_rows",
+    f"SELECT doc_id, lang, fold, {rounded('penalty', 9)} AS penalty, TRUE AS known, 1.0::DOUBLE AS total FROM {FOLDED_SQL} x, {GRID_SQL} g",
+)
+def _(ws):
+    """Every labelled row once for each penalty, predicted by the models that held it out."""
+    predicted = _path(ws).predict(_language_folds(ws), ["doc_id", "lang", "fold"], fold="fold")
+    chances = [F.col(f"p_{v}") for v in _languages(ws)]
+    known = F.col(PREDICTED).isin(_languages(ws))
+    return predicted.select(
+        "doc_id", "lang", "fold", round_half_up("penalty", 9).alias("penalty"), known.alias("known"),
+        round_half_up(reduce(add, chances), 9).alias("total"),
+    )
+
+
+@query(
+    "l5_lasso_optimality",
+    f"SELECT {rounded('penalty', 9)} AS penalty, lang AS class, TRUE AS optimal FROM {GRID_SQL} g, "
+    "(SELECT DISTINCT lang FROM documents d JOIN labels l ON d.doc_id = l.doc_id) c",
+)
+def _(ws):
+    """Whether the gradient of the likelihood is what the penalty allows, at every penalty, for every class."""
+    violations = lasso_violations(_path(ws), documents(ws), "lang")
+    worst = violations.groupBy("penalty", "class").agg(F.max("violation").alias("worst"))
+    return worst.select(round_half_up("penalty", 9).alias("penalty"), "class", (F.col("worst") < 1e-4).alias("optimal"))
+
+
 @query("c10_choose_penalty")
 def _(ws):
     best = select_best(_tuned(ws), "roc_auc").withColumn("rule", F.lit("best"))
@@ -149,12 +291,11 @@ def _(ws):
 @query("c11_last_fit")
 def _(ws):
     penalty = select_by_one_std_err(_tuned(ws), "roc_auc").first().penalty
-    split = with_stratified_split(documents(ws), "class", "doc_id")
-    recipe = lambda: model_recipe(lasso_multinomial(penalty), TEXT_FEATURES, "class", CLASSES)
-    _, _, figures = last_fit(
-        split.where(F.col("split") == "train"), split.where(F.col("split") == "test"), recipe, "class", CLASSES
-    )
-    return figures
+    split = with_stratified_split(documents(ws), "lang", "doc_id")
+    train, test = (split.where(F.col("split") == part) for part in ("train", "test"))
+    path = lasso_path(train, TEXT_FEATURES, "lang", _languages(ws), [penalty])
+    predicted = materialise(path.predict(test, ["doc_id", "lang"]), "last-fit")
+    return fold_figures(predicted, "lang", _languages(ws), [])
 
 
 # --- models ------------------------------------------------------------------------------------
@@ -248,12 +389,8 @@ def _(ws):
 
 @query("l5_multinomial_lasso")
 def _(ws):
-    recipe = model_recipe(lasso_multinomial(0.01), TEXT_FEATURES, "lang", _languages(ws))
-    return recipe.fit(with_label(documents(ws), "lang", _languages(ws))).transform(documents(ws)).select("doc_id", "lang", PREDICTED)
-
-
-def _languages(ws):
-    return ws.keep("languages", lambda: sorted(r.lang for r in documents(ws).select("lang").distinct().collect()))
+    path = lasso_path(documents(ws), TEXT_FEATURES, "lang", _languages(ws), [0.01])
+    return path.predict(documents(ws), ["doc_id", "lang"]).select("doc_id", "lang", PREDICTED)
 
 
 @query("l6_bagged_trees")

@@ -255,9 +255,9 @@ SELECT s.f AS {facet}, s.g AS {grp}, CAST(i AS INTEGER) AS point, {rounded('ANY_
 FROM kd_set s JOIN kd_cells k ON s.f = k.f AND s.g = k.g CROSS JOIN kd_points GROUP BY s.f, s.g, i"""
 
 
-@query("v4_density", density_sql("experiment_metadata", "section_id", "sample_method", "temperature_deg_c", 64))
+@query("v4_density", density_sql("experiment_metadata", "section_id", "sample_method", "temperature_deg_c", 512))
 def _(ws):
-    table = density(ws["experiment_metadata"], "section_id", "sample_method", "temperature_deg_c", points=64)
+    table = density(ws["experiment_metadata"], "section_id", "sample_method", "temperature_deg_c", points=512)
     return table.withColumns({"x": round_half_up("x", 6), "density": round_half_up("density", 5)})
 
 

@@ -16,6 +16,8 @@ from .rank import share_within
 # numeric constants of the normal reference bandwidth: fixed values
 BANDWIDTH_FACTOR = 0.9
 IQR_PER_SD = 1.34
+#: Bandwidths beyond which a Gaussian is below double precision.
+KERNEL_REACH = 9.0
 
 
 def value_bounds(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float] | None]:
@@ -116,19 +118,21 @@ def density(df: DataFrame, facet: str, group: str, value: str, points: int = 512
         "_step", (F.col("_high") - F.col("_low")) / F.lit(float(points - 1))
     )
     cells = _shared_out(known.join(range_of, facet), points).groupBy(*keys, "_cell").agg(F.sum("_w").alias("_w"))
-    weights = cells.groupBy(*keys).agg(F.collect_list(F.struct("_cell", "_w")).alias("_cells"))
-    grid = settings.join(weights, keys).withColumn("_point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    place = lambda cell: (F.col("_point") - cell) * F.col("_step") / F.col("bandwidth")
-    total = F.aggregate(
-        "_cells",
-        F.lit(0.0),
-        lambda acc, c: acc + c["_w"] * F.exp(-place(c["_cell"]) * place(c["_cell"]) / 2.0),
-    )
-    return grid.select(
+    # A weight meets the grid points that its kernel reaches, and no others.
+    reach = F.ceil(F.lit(KERNEL_REACH) * F.col("bandwidth") / F.nullif(F.col("_step"), F.lit(0.0)))
+    wide = F.coalesce(F.least(reach, F.lit(points)), F.lit(points)).cast("int")
+    near = F.sequence(F.greatest(F.col("_cell") - wide, F.lit(0)), F.least(F.col("_cell") + wide, F.lit(points - 1)))
+    met = cells.join(settings, keys).withColumn("_point", F.explode(near))
+    gap = (F.col("_point") - F.col("_cell")) * F.col("_step") / F.col("bandwidth")
+    sums = met.groupBy(*keys, "_point").agg(F.sum(F.col("_w") * F.exp(-gap * gap / 2.0)).alias("_sum"))
+    named = sums.withColumnsRenamed({c: f"_at_{c}" for c in (*keys, "_point")})
+    grid = settings.withColumn("_point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    same = [F.col(c) == F.col(f"_at_{c}") for c in (*keys, "_point")]
+    return grid.join(named, same, "left").select(
         *keys,
         F.col("_point").alias("point"),
         (F.col("_low") + F.col("_point") * F.col("_step")).alias("x"),
-        (total / (F.col("n") * F.col("bandwidth") * F.lit(math.sqrt(2 * math.pi)))).alias("density"),
+        (F.coalesce("_sum", F.lit(0.0)) / (F.col("n") * F.col("bandwidth") * F.lit(math.sqrt(2 * math.pi)))).alias("density"),
     )
 
 

@@ -182,33 +182,38 @@ def contributions(
     the observation's values are fixed one after the other.
 
     Contributions of one ordering add up to the observation's prediction minus the mean prediction.
+    Orderings share their sets of fixed features: an observation is scored once with each set.
     """
     schema = f"`{key}` string, ordering int, feature string, contribution double"
     picked = _picked(observations, key, features)
     if not picked:
         return background.sparkSession.createDataFrame([], schema)
-    steps = len(features) + 1
-    size = len(picked) * len(orderings) * steps
-    step = F.col("_i") % steps
-    ordering = F.floor(F.col("_i") / steps).cast("int") % len(orderings)
-    who = F.floor(F.col("_i") / (steps * len(orderings))).cast("int")
+    # Every set of fixed features that some ordering passes through, each once; the first is the empty set.
+    places = {c: k for k, c in enumerate(features)}
+    passed = [[sum(1 << places[c] for c in order[:j]) for j in range(len(order) + 1)] for order in orderings]
+    masks = list(dict.fromkeys([0, *[m for row in passed for m in row]]))
+    index = {m: k for k, m in enumerate(masks)}
+    fixed_sets = len(masks) - 1
+    # With nothing fixed all observations are alike, so that set is scored once for all of them.
+    size = 1 + len(picked) * fixed_sets
+    entry = F.col("_i") - 1
+    mask = F.when(F.col("_i") == 0, 0).otherwise(1 + entry % F.lit(max(fixed_sets, 1))).cast("int")
+    who = F.when(F.col("_i") == 0, 0).otherwise(F.floor(entry / F.lit(max(fixed_sets, 1)))).cast("int")
     rows = background.select(*_doubles(background, features)).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
 
     def fixed(c: str) -> Column:
-        places = F.array(*[F.lit(list(o).index(c)) for o in orderings])
+        inside = F.array(*[F.lit(bool(m >> places[c] & 1)) for m in masks])
         values = F.array(*[F.lit(None if r[c] is None else float(r[c])).cast("double") for r in picked])
-        return F.when(F.element_at(places, ordering + 1) < step, F.element_at(values, who + 1)).otherwise(quoted(c)).alias(c)
+        return F.when(F.get(inside, mask), F.get(values, who)).otherwise(quoted(c)).alias(c)
 
     scored = _scored(model, rows.select("_i", *[fixed(c) for c in features]), output)
     means = {r["_i"]: r.m for r in scored.groupBy("_i").agg(F.avg("_y").alias("m")).collect()}
+    mean = lambda a, m: means[1 + a * fixed_sets + index[m] - 1 if m else 0]
     result = []
     for a, row in enumerate(picked):
         for b, order in enumerate(orderings):
-            start = (a * len(orderings) + b) * steps
-            result.append((row["_key"], b, "(mean)", means[start]))
-            result += [
-                (row["_key"], b, c, means[start + j + 1] - means[start + j]) for j, c in enumerate(order)
-            ]
+            result.append((row["_key"], b, "(mean)", mean(a, 0)))
+            result += [(row["_key"], b, c, mean(a, passed[b][j + 1]) - mean(a, passed[b][j])) for j, c in enumerate(order)]
     return background.sparkSession.createDataFrame(result, schema)
 
 

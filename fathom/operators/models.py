@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
@@ -322,6 +323,25 @@ def fit_resamples(
     return fold_figures(predicted, outcome, labels, [fold])
 
 
+def fit_prepared(
+    ready: DataFrame, recipe: Callable[[], Pipeline], outcome: str, labels: Sequence, v: int, key: str, parallelism: int = 4
+) -> DataFrame:
+    """metric, split_id, value of a classifier over rows prepared per fold (``part`` Analysis or Assessment)."""
+    columns = [PREDICTED, *[probability_name(x) for x in labels]]
+
+    def one(i: int) -> PipelineModel:
+        return recipe().fit(ready.where(f"split_id = {i} AND part = 'Analysis'"))
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        fitted = list(pool.map(inheritable_thread_target(ready.sparkSession)(one), range(v)))
+    parts = [
+        m.transform(ready.where(f"split_id = {i} AND part = 'Assessment'")).select("split_id", *names_sql([key, outcome, *columns]))
+        for i, m in enumerate(fitted)
+    ]
+    predicted = materialise(reduce(DataFrame.unionByName, parts), "resamples")
+    return fold_figures(predicted, outcome, labels, ["split_id"])
+
+
 def tune_penalty(
     df: DataFrame, penalties: Sequence[float], features: Sequence[str], outcome: str, labels: Sequence, v: int, key: str,
     fold: str = "fold",

@@ -35,6 +35,20 @@ MAX_TASKS = 8192
 # Pairs compared at a time: their distances fit a processor cache.
 BATCH_PAIRS = 131072
 SLACK = 1e-9
+DIGITS = 12
+
+
+@dataclass
+class Ready:
+    """Rows by feature: numbers (scaled, 0 where missing), codes of texts, and which values are there."""
+
+    numbers: np.ndarray
+    codes: np.ndarray
+    there: np.ndarray
+    named: np.ndarray
+
+    def part(self, rows: np.ndarray | slice) -> "Ready":
+        return Ready(self.numbers[:, rows], self.codes[:, rows], self.there[rows], self.named[rows])
 
 
 @dataclass
@@ -51,36 +65,44 @@ class Space:
         texts = rows[list(self.categorical)].to_numpy(dtype=object)
         return numbers, texts
 
-    def distances(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        total = np.zeros((len(a[0]), len(b[0])))
-        unknown = np.zeros(total.shape, dtype=np.int32)
+    def ready(self, rows: pd.DataFrame) -> "Ready":
+        """What distances need of these rows, worked out once however many batches they meet."""
+        numbers, texts = self.arrays(rows)
+        there = ~np.isnan(numbers)
+        if self.euclidean:
+            return Ready(numbers.T.copy(), np.empty((0, len(rows)), np.int64), there, np.empty((len(rows), 0), bool))
+        widths = np.array([self.ranges.get(name) or 0.0 for name in self.numeric], float)
+        scaled = np.where(there, numbers, 0.0) / np.where(widths > 0, widths, np.inf)
+        named = ~pd.isna(texts) if texts.size else np.ones(texts.shape, bool)
+        codes = [pd.util.hash_array(texts[:, j].astype(str).astype(object)).view(np.int64) for j in range(texts.shape[1])]
+        return Ready(scaled.T.copy(), np.array(codes, np.int64).reshape(texts.shape[1], len(rows)), there, named)
+
+    def distances(self, a: "Ready", b: "Ready") -> np.ndarray:
+        """Distances of all rows of ``a`` to all rows of ``b``; 1 where no feature is known of both.
+
+        Sums run over all features with 0 for what is missing; what pairs with a missing value have
+        thereby added is known from each row alone and taken off by matrix products.
+        """
+        total = np.zeros((a.there.shape[0], b.there.shape[0]))
         gap = np.empty_like(total)
-        features = len(self.numeric) + len(self.categorical)
-        for j, name in enumerate(self.numeric):
-            left, right = a[0][:, None, j], b[0][None, :, j]
-            np.subtract(left, right, out=gap)
-            if self.euclidean:
-                total += np.square(gap, out=gap)
-                continue
-            np.abs(gap, out=gap)
-            if np.isnan(left).any() or np.isnan(right).any():
-                missing = np.isnan(gap)
-                unknown += missing
-                gap[missing] = 0.0
-            width = self.ranges.get(name) or 0.0
-            if width > 0:
-                gap /= width
-                total += gap
+        for left, right in zip(a.numbers, b.numbers):
+            np.subtract(left[:, None], right[None, :], out=gap)
+            np.square(gap, out=gap) if self.euclidean else np.abs(gap, out=gap)
+            total += gap
         if self.euclidean:
             return np.sqrt(total)
-        for j in range(len(self.categorical)):
-            codes, _ = pd.factorize(np.concatenate([a[1][:, j], b[1][:, j]]))
-            left, right = codes[: len(a[1]), None], codes[None, len(a[1]) :]
-            missing = (left < 0) | (right < 0)
-            unknown += missing
-            total += ~missing & (left != right)
-        known = features - unknown
-        return np.where(known > 0, total / np.where(known > 0, known, 1.0), 1.0)
+        for left, right, here, beyond in zip(a.codes, b.codes, a.named.T, b.named.T):
+            unequal = left[:, None] != right[None, :]
+            unequal[~here] = False
+            unequal[:, ~beyond] = False
+            total += unequal
+        for one, two, turn in ((a, b, False), (b, a, True)):
+            if not one.there.all():
+                added = (~one.there).astype(float) @ (np.abs(two.numbers) * two.there.T)
+                total -= added.T if turn else added
+        known = a.there.astype(float) @ b.there.T.astype(float) + a.named.astype(float) @ b.named.T.astype(float)
+        # Equal distances stay equal in whatever order they were summed.
+        return np.where(known > 0, np.round(total / np.maximum(known, 1.0), DIGITS), 1.0)
 
     def lower_bounds(self, rows: tuple[np.ndarray, np.ndarray], boxes: pd.DataFrame) -> np.ndarray:
         """A distance that no donor of a box can fall below."""
@@ -177,12 +199,12 @@ def _assigned(rows: DataFrame, centres: pd.DataFrame, space: Space) -> DataFrame
     schema = T.StructType([*rows.schema.fields, T.StructField("_cell", T.IntegerType())])
 
     def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        middle = space.arrays(centres)
+        middle = space.ready(centres)
         owner = centres["_group"].to_numpy()
         for part in parts:
             cells = np.full(len(part), -1)
             for start, rows_ in _batches(part, len(centres)):
-                far = space.distances(space.arrays(rows_), middle)
+                far = space.distances(space.ready(rows_), middle)
                 far[rows_["_group"].to_numpy()[:, None] != owner[None, :]] = np.inf
                 best = far.argmin(axis=1)
                 cells[start : start + len(rows_)] = np.where(np.isinf(far.min(axis=1)), -1, best)
@@ -261,9 +283,9 @@ def _searched(
             ids = offered["_key"].to_numpy()
             order = np.argsort(ids, kind="stable")
             offered, ids = offered.iloc[order], ids[order]
-            there = space.arrays(offered)
-            for _, rows_ in _batches(asked, len(offered)):
-                far = space.distances(space.arrays(rows_), there)
+            there, here = space.ready(offered), space.ready(asked)
+            for start, rows_ in _batches(asked, len(offered)):
+                far = space.distances(here.part(slice(start, start + len(rows_))), there)
                 names = rows_["_key"].to_numpy()
                 far[names[:, None] == ids[None, :]] = np.inf
                 for t in targets or [None]:

@@ -32,7 +32,7 @@ from ..functions.columns import quoted
 from ..session import materialise
 
 BLOCK_CELLS = 1 << 21
-TOLERANCE = 1e-7
+TOLERANCE = 1e-5
 STEPS = 400
 
 
@@ -299,3 +299,35 @@ def _warm(beta, gradient, curvature, penalty, classes, sets, many):
         last = _solved(last, slope, curvatures[:, k], penalties[:, k], classes)
         out[:, k] = last
     return out.reshape(beta.shape)
+
+
+def lasso_violations(path: LassoPath, df: DataFrame, outcome: str) -> DataFrame:
+    """penalty, class, term, violation: how far the models of all rows are from the conditions of a minimum.
+
+    The mean slope of the likelihood by a coefficient of a standardised input is minus the penalty times the
+    coefficient's sign, or no larger than the penalty if the coefficient is 0; that by an intercept is 0.
+    Computed by Spark from the predictions alone, independently of the fit.
+    """
+    names = F.array(*[F.lit(v) for v in path.labels])
+    known = df.where(F.array_contains(names, quoted(outcome)))
+    inputs = [f"_v{i}" for i in range(len(path.features))]
+    known = known.select(quoted(outcome).alias("_truth"), *[quoted(c).cast("double").alias(f"_r{i}") for i, c in enumerate(path.features)])
+    means = [float(m) for m in path.means[-1]]
+    filled = known.withColumns({v: F.coalesce(F.col(f"_r{i}"), F.lit(means[i])) - means[i] for i, v in enumerate(inputs)})
+    spread = filled.agg(*[F.stddev_samp(v).alias(v) for v in inputs]).first()
+    deviations = [spread[v] or 0.0 for v in inputs]
+    raw = filled.withColumnsRenamed({f"_r{i}": c for i, c in enumerate(path.features)})
+    predicted = path.predict(raw, ["_truth", *inputs])
+    found = []
+    for v in path.labels:
+        error = quoted(f"p_{v}") - (F.col("_truth") == F.lit(v)).cast("double")
+        terms = [("(Intercept)", F.avg(error))]
+        terms += [(c, F.avg(error * F.col(i)) / d) for c, i, d in zip(path.features, inputs, deviations) if d > 1e-9]
+        found += [F.struct(F.lit(v).alias("class"), F.lit(t).alias("term"), slope.alias("slope")) for t, slope in terms]
+    slopes = predicted.groupBy("penalty").agg(F.array(*found).alias("s")).select("penalty", F.inline("s"))
+    fitted = path.coefficients(df.sparkSession).where("fold = -1").drop("fold")
+    bound = F.when(F.col("term") == "(Intercept)", F.abs("slope")).when(
+        F.col("estimate") == 0, F.greatest(F.abs("slope") - F.col("penalty"), F.lit(0.0))
+    )
+    violation = bound.otherwise(F.abs(F.col("slope") + F.col("penalty") * F.signum("estimate")))
+    return slopes.join(fitted, ["penalty", "class", "term"]).select("penalty", "class", "term", violation.alias("violation"))

@@ -27,14 +27,12 @@ from ..functions.columns import (
 from ..functions.numbers import few_avg
 from ..session import materialise
 from .neighbours import CELL_ROWS, Space, nearest_rows
-from .ordering import hashed_rank, range_count
+from .ordering import hashed_rank
+from .power import best_powers
 from .profile import per_column
 
 MAX_LEVELS = 1000
 
-# Bounds of the power transform's parameter: fixed values.
-POWER_LOW, POWER_HIGH = -5.0, 5.0
-
 
 class _Settings(Params):
     """Settings and fitted state as one JSON-compatible parameter."""
@@ -361,50 +359,6 @@ def power_likelihoods(counts: DataFrame, candidates: dict[str, list[float]], mid
     )
 
 
-def best_powers(
-    df: DataFrame, columns: Sequence[str], tries: Sequence[int] = (11, 9, 9), least_values: int = 5
-) -> dict[str, float]:
-    """The most likely power of each column in [-5, 5]: ever finer grids, then the top of a parabola.
-
-    Columns with fewer than ``least_values`` different values are left alone.
-    Equal values are counted once, before the grids: columns of mostly zeros shrink to a few rows.
-    """
-    cells = long_cells(df, columns, "x", cast="double").where("x IS NOT NULL")
-    counts = cells.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"))
-    # Few bytes, much arithmetic: spread over all tasks, read by each pass.
-    counts = materialise(counts.repartition(range_count(df)), "values")
-    middles = {
-        r.feature: r.m
-        for r in counts.groupBy("feature").agg((F.sum(F.expr("n * x")) / F.sum("n")).alias("m"), (F.count(F.lit(1)) >= max(2, least_values)).alias("varies"))
-        .where("varies").collect()
-    }
-    low = {c: POWER_LOW for c in middles}
-    high = {c: POWER_HIGH for c in middles}
-    best: dict[str, float] = {}
-    if not middles:
-        return best
-    for points in tries:
-        candidates = {c: [low[c] + (high[c] - low[c]) * i / (points - 1) for i in range(points)] for c in middles}
-        found: dict[str, dict[float, float]] = {}
-        for r in power_likelihoods(counts, candidates, middles).collect():
-            found.setdefault(r.feature, {})[r.power] = r.likelihood
-        for c, likelihoods in found.items():
-            step = (high[c] - low[c]) / (points - 1)
-            best[c] = max(likelihoods, key=lambda p: (likelihoods[p], p))
-            left, right = (likelihoods.get(p) for p in _beside(candidates[c], best[c]))
-            if points == tries[-1] and left is not None and right is not None:
-                bend = left - 2 * likelihoods[best[c]] + right
-                if bend < 0:
-                    best[c] += step * (left - right) / (2 * bend)
-            low[c], high[c] = max(POWER_LOW, best[c] - step), min(POWER_HIGH, best[c] + step)
-    return best
-
-
-def _beside(values: Sequence[float], value: float) -> tuple[float | None, float | None]:
-    i = values.index(value)
-    return (values[i - 1] if i else None, values[i + 1] if i + 1 < len(values) else None)
-
-
 class PowerTransform(_Step):
     def _fit(self, df: DataFrame) -> "PowerTransformModel":
         columns = self.predictors(df, "numeric")
@@ -584,62 +538,71 @@ class DummiesModel(_Fitted):
 
 def smote(
     df: DataFrame, target: str, key: str, over_ratio: float = 1.0, neighbours: int = 5, seed: int = 1,
-    columns: Sequence[str] | None = None, cell_rows: int = CELL_ROWS,
+    columns: Sequence[str] | None = None, cell_rows: int = CELL_ROWS, group: str | None = None,
 ) -> DataFrame:
     """Add rows between minority rows and their neighbours until each class has ``over_ratio`` times the largest.
 
-    Rows whose numbers are all missing have no neighbour; the others make up for them.
+    Rows whose numbers are all missing have no neighbour; the others make up for them. With ``group`` every
+    group is brought up on its own, all in one search; a key then names one row of a group.
 
     The key becomes text; new rows have the key of their first parent and a running number.
-    Other columns than the numeric ones are missing in new rows.
+    Other columns than the numeric ones and the group are missing in new rows.
     """
-    numeric = list(columns) if columns is not None else [c for c in numeric_columns(df) if c not in (target, key)]
-    sizes = {r[target]: r["count"] for r in df.groupBy(target).count().limit(MAX_LEVELS + 1).collect()}
+    own = [] if group is None else [group]
+    numeric = list(columns) if columns is not None else [c for c in numeric_columns(df) if c not in (target, key, *own)]
+    sizes = {(r[group] if own else None, r[target]): r["count"] for r in df.groupBy(*own, target).count().limit(MAX_LEVELS + 1).collect()}
     if len(sizes) > MAX_LEVELS:
         raise ValueError(f"{target} has more than {MAX_LEVELS} classes")
-    goal = int(max(sizes.values()) * over_ratio)
-    missing = {c: goal - n for c, n in sizes.items() if n < goal}
+    largest: dict = {}
+    for (g, _), n in sizes.items():
+        largest[g] = max(n, largest.get(g, 0))
+    missing = {(g, c): int(largest[g] * over_ratio) - n for (g, c), n in sizes.items() if n < int(largest[g] * over_ratio)}
     alone = [c for c in missing if sizes[c] < 2]
     if alone:
-        raise ValueError(f"classes with a single row have no neighbours: {alone}")
+        raise ValueError(f"classes with a single row have no neighbours: {alone if own else [c for _, c in alone]}")
     named = df.withColumn(key, quoted(key).cast("string"))
     if not missing:
         return named.withColumn("synthetic", F.lit(False))
-    small = named.where(quoted(target).isin(list(missing)))
-    near = nearest_rows(
-        small, small, key, Space(numeric, euclidean=True), neighbours, within=target, cell_rows=cell_rows
+    types = {c: df.schema[c].dataType.simpleString() for c in (*own, target)}
+    schema = ", ".join([*([f"_group {types[group]}"] if own else []), f"_class {types[target]}"])
+    lacking = F.broadcast(df.sparkSession.createDataFrame([c if own else c[1:] for c in missing], schema))  # a row per class
+    same = quoted(target) == F.col("_class")
+    for g in own:
+        same = same & quoted(g).eqNullSafe(F.col("_group"))
+    text = lambda c: F.coalesce(quoted(c).cast("string"), F.lit(""))
+    small = named.join(lacking, same).select(
+        (F.concat(text(group), F.lit("\x1f"), quoted(key)) if own else quoted(key)).alias("_id"),
+        (F.concat(text(group), F.lit("\x1f"), text(target)) if own else text(target)).alias("_part"),
+        *[quoted(c) for c in (*own, target, key)], *[quoted(c).cast("double").alias(c) for c in numeric],
     )
+    small = materialise(small, "minority")
+    near = nearest_rows(small, small, "_id", Space(numeric, euclidean=True), neighbours, within="_part", cell_rows=cell_rows)
     # Rows without a neighbour, for want of numbers, make no copies: the others make theirs.
-    near = materialise(near, "neighbours")
-    able = small.join(near.select(quoted(key).alias("_able")).distinct(), quoted(key) == F.col("_able"), "left_semi")
-    shares = {r[target]: r["count"] for r in able.groupBy(target).count().collect()}
+    near = materialise(near.select("_id", "donor", "rank"), "neighbours")
+    found = near.groupBy("_id").agg(F.max("rank").alias("_found"))
+    able = materialise(small.join(found, "_id"), "able")
+    shares = {(r[group] if own else None, r[target]): r["count"] for r in able.groupBy(*own, target).count().collect()}
     without = [c for c in missing if c not in shares]
     if without:
-        raise ValueError(f"classes in which no row has a neighbour: {without}")
-    kind = df.schema[target].dataType.simpleString()
+        raise ValueError(f"classes in which no row has a neighbour: {without if own else [c for _, c in without]}")
     plan = df.sparkSession.createDataFrame(
-        [(c, n // shares[c], n % shares[c]) for c, n in missing.items()], f"_class {kind}, _per_row long, _rest long"
+        [(*(c if own else c[1:]), n // shares[c], n % shares[c]) for c, n in missing.items()], f"{schema}, _per_row long, _rest long"
     )
-    ranked = hashed_rank(able, key, [target], seed=seed, name="_rank")
-    copies = ranked.join(plan, quoted(target) == F.col("_class")).withColumn(
+    ranked = hashed_rank(able, "_id", ["_part"], seed=seed, name="_rank")
+    copies = ranked.join(F.broadcast(plan), same).withColumn(
         "_copies", (F.col("_per_row") + (F.col("_rank") <= F.col("_rest")).cast("long")).cast("int")
-    ).drop("_class", "_per_row", "_rest")
+    )
     parents = copies.where(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    found = near.groupBy(key).agg(F.count(F.lit(1)).alias("_found")).withColumnRenamed(key, "_first")
-    draw = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), quoted(key), F.col("_copy"))
-    parents = parents.join(found, quoted(key) == F.col("_first")).drop("_first")
-    parents = parents.withColumn("_pick", (F.pmod(draw("neighbour"), F.col("_found")) + 1).cast("int"))
-    picked = near.select(F.col(key).alias("_first"), F.col("donor").alias("_second"), F.col("rank").alias("_pick_rank"))
-    pairs = parents.join(picked, (quoted(key) == F.col("_first")) & (F.col("_pick") == F.col("_pick_rank")))
-    second = small.select(quoted(key).alias("_other"), *[quoted(c).alias(f"_b_{c}") for c in numeric])
+    draw = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), F.col("_id"), F.col("_copy"))
+    parents = parents.withColumn("rank", (F.pmod(draw("neighbour"), F.col("_found")) + 1).cast("int"))
+    pairs = parents.join(near, ["_id", "rank"])
+    # A row's neighbour has that row as one at a known distance, so it is able as well.
+    second = able.select(F.col("_id").alias("donor"), *[quoted(c).alias(f"_b_{c}") for c in numeric])
     share = F.pmod(draw("share"), F.lit(1000003)) / F.lit(1000003.0)
-    made = pairs.join(second, F.col("_second") == F.col("_other")).select(
+    made = pairs.join(second, "donor").select(
         F.concat(quoted(key), F.lit("+"), F.col("_copy").cast("string")).alias(key),
-        quoted(target),
-        *[
-            (quoted(c) + share * (quoted(f"_b_{c}") - quoted(c))).cast("double").alias(c)
-            for c in numeric
-        ],
+        *[quoted(c) for c in (*own, target)],
+        *[(quoted(c) + share * (quoted(f"_b_{c}") - quoted(c))).cast("double").alias(c) for c in numeric],
         F.lit(True).alias("synthetic"),
     )
     real = _with_doubles(named, numeric).withColumn("synthetic", F.lit(False))

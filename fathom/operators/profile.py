@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.columns import as_doubles, name_sql, names_sql, numeric_columns, quoted, text_columns, text_literal
 from ..functions.numbers import correlation_sql, number_text, round_half_up, sign_label, skewness_sql
 from .ordering import dense_codes, exact_quantiles, running_totals
+from .products import pair_products
 from .rank import first_of_ties, numbered
 
 
@@ -195,17 +196,22 @@ def correlated_features(
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], group: str | None = None) -> DataFrame:
-    """Upper triangle of the pairwise correlations as long rows, optionally per group."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    aggregates = [
-        F.expr(correlation_sql(name_sql(a), name_sql(b))).alias(f"c{i}") for i, (a, b) in enumerate(pairs)
-    ]
+    """Upper triangle of the pairwise correlations as long rows, optionally per group.
+
+    A pair is correlated over the rows that have both values; without any, or if one of them never differs
+    there, the correlation is missing. Products are made by blocks of columns (``products.pair_products``).
+    """
+    columns = list(columns)
     keys = [group] if group else []
-    rows = [
-        f"struct({text_literal(a)} AS x, {text_literal(b)} AS y, c{i} AS correlation)" for i, (a, b) in enumerate(pairs)
-    ]
-    wide = df.groupBy(*keys).agg(*aggregates)
-    return wide.selectExpr(*names_sql(keys), f"inline(array({', '.join(rows)}))")
+    sums = pair_products(df, columns, group)
+    n, a, b, aa, bb, ab = (F.col(c) for c in ("n", "a", "b", "aa", "bb", "ab"))
+    spread = lambda square, total: square - total * total / n
+    flat = lambda square, total: spread(square, total) <= F.lit(1e-13) * square
+    value = (ab - a * b / n) / F.sqrt(spread(aa, a) * spread(bb, b))
+    kept = F.when((n > 0) & ~flat(aa, a) & ~flat(bb, b), F.greatest(F.least(value, F.lit(1.0)), F.lit(-1.0)))
+    names = F.array(*[F.lit(c) for c in columns])
+    name = lambda c: F.get(names, F.col(c))
+    return sums.select(*[quoted(k) for k in keys], name("i").alias("x"), name("j").alias("y"), kept.alias("correlation"))
 
 
 def column_summary(df: DataFrame) -> DataFrame:
