@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import round_half_up
 from ..operators.explain import (
-    accumulated_dependence, break_down, explained, partial_dependence, row_profiles, shapley,
+    accumulated_dependence, break_down, explained, partial_dependence, permutation_importance, row_profiles, shapley,
 )
 from ..operators.metrics import class_metrics
 from ..operators.models import PREDICTED, AddMissing, score, score_long
@@ -131,6 +131,31 @@ def _break_down_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _importance_sql() -> str:
+    place = "ROW_NUMBER() OVER (ORDER BY ((o_orderkey % 1000003) * (2654435761 % 1000003) + 1) % 1000003, o_orderkey)"
+    rows = f"SELECT l.*, o_orderkey, {place} AS place, COUNT(*) OVER () AS n FROM {ORDERS_SQL} l JOIN orders ON order_id = CAST(o_orderkey AS VARCHAR)"
+    loss = lambda guess: f"SQRT(AVG(POWER(l.y - {guess}, 2)))"
+    parts = []
+    for f in FEATURES:
+        moved = loss(predict_sql(*[f"{'d' if g == f else 'l'}.{g}" for g in FEATURES]))
+        parts.append(
+            f"SELECT '{f}' AS feature, CAST(repeat AS INTEGER) AS repeat, {rounded(moved, 5)} AS loss, {rounded(f'{moved} - ANY_VALUE(base)', 5)} AS rise "
+            "FROM pi_rows l JOIN pi_repeats ON TRUE JOIN pi_base ON TRUE JOIN pi_rows d ON d.place = (l.place + repeat * 2654435761 % (l.n - 1)) % l.n + 1 GROUP BY repeat"
+        )
+    base = loss(predict_sql("l.a", "l.b", "l.c"))
+    return (
+        f"WITH pi_rows AS ({rows}), pi_repeats AS (SELECT UNNEST(RANGE(1, 11)) AS repeat), pi_base AS (SELECT {base} AS base FROM pi_rows l) "
+        + " UNION ALL ".join(parts)
+    )
+
+
+@query("d2_fixed_importance", _importance_sql())
+def _(ws):
+    rows = ws["orders"].select("o_orderkey", F.col("o_orderkey").cast("string").alias("order_id")).join(orders(ws), "order_id")
+    found = permutation_importance(fixed_model(), rows, FEATURES, "y", "o_orderkey", method="arithmetic")
+    return found.withColumns({c: round_half_up(c, 5) for c in ("loss", "rise")})
+
+
 @query("d5_fixed_break_down", _break_down_sql())
 def _(ws):
     found = break_down(fixed_model(), orders(ws), observed(ws), FEATURES, "order_id")

@@ -74,10 +74,37 @@ def _(ws):
     return TargetImpute(target="temperature", exclude=["library_id"]).fit(df).transform(df)
 
 
-@query("m5_impute_neighbours")
+NUMBERS = ("lat", "lon", "depth", "phosphate", "nitrate", "dop", "rare_flag")
+TEXTS = ("section_id", "sample_method", "code")
+
+
+def _nearest_sql() -> str:
+    """Every pair of rows compared: mean scaled difference or mismatch over what both have, five nearest with a value."""
+    known = lambda c: f"(q.{c} IS NOT NULL AND d.{c} IS NOT NULL)"
+    apart = [f"CASE WHEN {known(c)} AND w_{c} > 0 THEN ABS(CAST(q.{c} AS DOUBLE) - d.{c}) / w_{c} ELSE 0 END" for c in NUMBERS]
+    apart += [f"CASE WHEN {known(c)} AND q.{c} <> d.{c} THEN 1.0::DOUBLE ELSE 0 END" for c in TEXTS]
+    both = " + ".join(f"CAST({known(c)} AS INTEGER)" for c in (*NUMBERS, *TEXTS))
+    distance = f"CASE WHEN {both} > 0 THEN ROUND(({' + '.join(apart)}) / ({both}), 12) ELSE 1 END"
+    lacking = " OR ".join(f"{c} IS NULL" for c in NUMBERS)
+    fills = ", ".join(
+        f"f_{c} AS (SELECT k, AVG(v) AS v FROM (SELECT k, d_{c} AS v, ROW_NUMBER() OVER (PARTITION BY k ORDER BY distance, donor) AS r FROM p "
+        f"WHERE q_{c} IS NULL AND d_{c} IS NOT NULL) x WHERE r <= 5 GROUP BY k)"
+        for c in NUMBERS
+    )
+    return (
+        f"WITH n AS (SELECT * FROM {ROWS_SQL} t), w AS (SELECT {', '.join(f'CAST(MAX({c}) - MIN({c}) AS DOUBLE) AS w_{c}' for c in NUMBERS)} FROM n), "
+        f"p AS (SELECT q.library_id AS k, d.library_id AS donor, {distance} AS distance, {', '.join(f'q.{c} AS q_{c}, CAST(d.{c} AS DOUBLE) AS d_{c}' for c in NUMBERS)} "
+        f"FROM (SELECT * FROM n WHERE {lacking}) q, n d, w), {fills} "
+        f"SELECT n.* EXCLUDE ({', '.join(NUMBERS)}, constant), {', '.join(rounded(f'COALESCE(CAST(n.{c} AS DOUBLE), f_{c}.v)', 6) + f' AS {c}' for c in NUMBERS)} FROM n "
+        + " ".join(f"LEFT JOIN f_{c} ON n.library_id = f_{c}.k" for c in NUMBERS)
+    )
+
+
+@query("m5_impute_neighbours", _nearest_sql())
 def _(ws):
     df = rows(ws).drop("constant")
-    return NeighbourImpute(key="library_id", exclude=["library_id", "temperature"]).fit(df).transform(df)
+    filled = NeighbourImpute(key="library_id", exclude=["library_id", "temperature"]).fit(df).transform(df)
+    return filled.withColumns({c: round_half_up(c, 6) for c in NUMBERS})
 
 
 @query(

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import long_cells, quoted
+from ..session import materialise
 from .chartdata import bin_index, box_statistics, value_bounds
-from .ordering import exact_quantiles, hashed_rank
+from .ordering import HASH_FACTOR, exact_quantiles, hashed_rank
 
 MAX_OBSERVATIONS = 100
 
@@ -39,36 +40,37 @@ def _doubles(df: DataFrame, features: Sequence[str]) -> list[Column]:
 
 def permutation_importance(
     model: Transformer, df: DataFrame, features: Sequence[str], outcome: str, key: str, repeats: int = 10,
-    output: str = "predict", seed: int = 1,
+    output: str = "predict", seed: int = 1, method: str = "xxhash64",
 ) -> DataFrame:
     """feature, repeat, loss (root mean square error) and its rise over the loss on the data as it is.
 
-    A permutation pairs each row with the row of the same rank in another hash order.
+    Rows are put in hash order once. In repeat r every row takes a feature's value from the row that stands
+    ``shift_of(r, rows)`` places on, in a circle, so all repeats and features share one join.
     """
     rows = df.where(quoted(outcome).isNotNull()).select(key, quoted(outcome).cast("double").alias("_truth"), *_doubles(df, features))
-    several = rows.withColumn("_repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    several = several.withColumn("_key", F.concat_ws("|", quoted(key).cast("string"), F.col("_repeat").cast("string")))
-    left = hashed_rank(several, "_key", ["_repeat"], seed, name="_place")
-    donors = hashed_rank(
-        several.select("_key", F.col("_repeat").alias("_donor_repeat"), F.struct(*[quoted(c) for c in features]).alias("_donor")),
-        "_key", ["_donor_repeat"], seed + 1, name="_donor_place",
-    ).drop("_key")
-    paired = left.join(
-        donors, (F.col("_repeat") == F.col("_donor_repeat")) & (F.col("_place") == F.col("_donor_place"))
-    )
-    replaced = paired.withColumn("_feature", F.explode(F.array(F.lit(""), *[F.lit(c) for c in features]))).select(
+    ranked = materialise(hashed_rank(rows, key, seed=seed, method=method, name="_place"), "places")
+    n = ranked.count()
+    gap = F.col("_truth") - F.col("_y")
+    loss = F.sqrt(F.avg(gap * gap))
+    base = _scored(model, ranked, output).agg(loss.alias("loss")).first().loss
+    shifts = F.array(*[F.struct(F.lit(r).alias("_repeat"), F.lit(shift_of(r, n)).alias("_shift")) for r in range(1, repeats + 1)])
+    several = ranked.select("*", F.inline(shifts)).withColumn("_from", (F.col("_place") - 1 + F.col("_shift")) % F.lit(max(n, 1)) + 1)
+    donors = ranked.select(F.col("_place").alias("_from"), F.struct(*[quoted(c) for c in features]).alias("_donor"))
+    replaced = several.join(donors, "_from").withColumn("_feature", F.explode(F.array(*[F.lit(c) for c in features]))).select(
         "_repeat", "_feature", "_truth",
         *[F.when(F.col("_feature") == c, F.col("_donor")[c]).otherwise(quoted(c)).alias(c) for c in features],
     )
-    gap = F.col("_truth") - F.col("_y")
-    losses = _scored(model, replaced, output).groupBy("_repeat", "_feature").agg(F.sqrt(F.avg(gap * gap)).alias("loss"))
-    base = losses.where(F.col("_feature") == "").select(F.col("_repeat").alias("_base_repeat"), F.col("loss").alias("_base"))
-    return losses.where(F.col("_feature") != "").join(base, F.col("_repeat") == F.col("_base_repeat")).select(
-        F.col("_feature").alias("feature"), F.col("_repeat").alias("repeat"), "loss",
-        (F.col("loss") - F.col("_base")).alias("rise"),
+    losses = _scored(model, replaced, output).groupBy("_repeat", "_feature").agg(loss.alias("loss"))
+    return losses.select(
+        F.col("_feature").alias("feature"), F.col("_repeat").alias("repeat"), "loss", (F.col("loss") - F.lit(base)).alias("rise")
     )
 
 
+def shift_of(repeat: int, rows: int) -> int:
+    """How many places the values of a repeat come from: spread over the circle, never none if there are other rows."""
+    return 1 + repeat * HASH_FACTOR % (rows - 1) if rows > 1 else 0
+
+
 def importance_summary(importance: DataFrame) -> DataFrame:
     return importance.groupBy("feature").agg(
         F.avg("rise").alias("importance"), F.min("rise").alias("lowest"), F.max("rise").alias("highest")

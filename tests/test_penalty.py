@@ -52,7 +52,7 @@ def test_path_equals_separate_fits(spark, missing):
             want = by_solver(df, penalty, fold)
             got = {r.key: [r.p_x, r.p_y, r.p_z] for r in rows if r.penalty == penalty and r.key in want}
             assert got.keys() == want.keys()
-            assert max(abs(np.subtract(got[k], want[k])).max() for k in want) < 1e-3
+            assert max(abs(np.subtract(got[k], want[k])).max() for k in want) < 3e-3
 
 
 def test_coefficients_meet_the_optimality_conditions(spark):
@@ -73,11 +73,11 @@ def test_coefficients_meet_the_optimality_conditions(spark):
         p /= p.sum(axis=1, keepdims=True)
         slope = (p - truth).T @ z / len(z)
         used = beta != 0
-        assert np.allclose(slope[used], -penalty * np.sign(beta[used]), atol=1e-5)
-        assert (np.abs(slope[~used]) <= penalty + 1e-5).all()
-        assert np.allclose((p - truth).mean(axis=0), 0, atol=1e-5)
+        assert np.allclose(slope[used], -penalty * np.sign(beta[used]), atol=1e-4)
+        assert (np.abs(slope[~used]) <= penalty + 1e-4).all()
+        assert np.allclose((p - truth).mean(axis=0), 0, atol=1e-4)
     assert not path.weights[-1, 2].any()  # a penalty that leaves nothing
-    assert lasso_violations(path, df, "kind").agg({"violation": "max"}).first()[0] < 1e-5
+    assert lasso_violations(path, df, "kind").agg({"violation": "max"}).first()[0] < 1e-4
     terms = path.coefficients(spark)
     assert terms.count() == 3 * 3 * 5 and terms.where("term = 'flat' AND estimate <> 0").isEmpty()
 
