@@ -29,10 +29,10 @@ from ..operators.resample import (
     with_spatial_folds, with_split, with_stratified_split,
 )
 from ..operators.reshape import bind_rows
-from ..plans.training import train_regression
+from ..plans.training import train_classification, train_regression
 from ..session import materialise, new_path
 from ..streaming.scoring import arriving, score_stream
-from .preparation import rows
+from .preparation import class_table, rows
 from .registry import query, rounded
 
 HASH_SQL = "(({key} % 1000003) * (2654435761 % 1000003) + 1234) % 1000003"
@@ -729,3 +729,23 @@ def _(ws):
         candidates={k: v for k, v in small_regressors().items() if k != "GBM_1"}, importance_repeats=2,
     )
     return result.leaderboard
+
+
+def _class_training(ws):
+    def build():
+        table = class_table(ws).select("biosample_id", "target", "lat", "depth", "temperature", "section_id", "code")
+        return train_classification(
+            table, "target", "biosample_id", new_path(ws.spark, "class-models"), correlation=0.0, candidates=small_classifiers()
+        )
+
+    return ws.keep("class_training", build)
+
+
+@query("k11_classification")
+def _(ws):
+    return _class_training(ws).leaderboard
+
+
+@query("k11_class_gains")
+def _(ws):
+    return _class_training(ws).gains

@@ -11,7 +11,7 @@ from ..operators.prep import (
     PowerTransform, PowerTransformModel, TargetImpute, UnknownLevel, ZeroVariance, best_powers, smote,
 )
 from ..operators.reshape import lengthen
-from ..plans.features import fit_features, regression_table
+from ..plans.features import classification_table, fit_features, regression_table
 from ..session import materialise, new_path
 from .composites import SPECIES, TAXA
 from .registry import query, rounded
@@ -226,3 +226,14 @@ def model_table(ws):
 @query("k10_features")
 def _(ws):
     return fit_features(model_table(ws), "temperature", "biosample_id", correlation=0.03).training
+
+
+def class_table(ws):
+    return ws.keep(
+        "class_table", lambda: materialise(classification_table(ws.samples, TAXA, SPECIES, keep_id=True), "class-table")
+    )
+
+
+@query("k10_class")
+def _(ws):
+    return fit_features(class_table(ws), "target", "biosample_id", correlation=0.03).training

@@ -144,9 +144,9 @@ def _(ws):
     return table.withColumn("correlation", round_half_up("correlation", 6))
 
 
-def _summary_sql() -> str:
+def _summary_sql(numeric=MATRIX, text=("section_id",)) -> str:
     parts = []
-    for c in MATRIX:
+    for c in numeric:
         numbers = ", ".join(
             f"{rounded(e, 6)} AS {n}"
             for e, n in (
@@ -159,10 +159,11 @@ def _summary_sql() -> str:
             f"SELECT '{c}' AS feature, 'numeric' AS type, COUNT(*) FILTER ({c} IS NULL) AS num_missing, "
             f"CAST(COUNT(*) FILTER ({c} IS NULL) AS DOUBLE) / COUNT(*) AS pct_missing, COUNT(DISTINCT {c}) AS n_distinct, {numbers} FROM experiment_metadata"
         )
-    parts.append(
-        "SELECT 'section_id', 'character', COUNT(*) FILTER (section_id IS NULL), CAST(COUNT(*) FILTER (section_id IS NULL) AS DOUBLE) / COUNT(*), "
-        "COUNT(DISTINCT section_id), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM experiment_metadata"
-    )
+    parts += [
+        f"SELECT '{c}', 'character', COUNT(*) FILTER ({c} IS NULL), CAST(COUNT(*) FILTER ({c} IS NULL) AS DOUBLE) / COUNT(*), "
+        f"COUNT(DISTINCT {c}), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM experiment_metadata"
+        for c in text
+    ]
     return " UNION ALL ".join(parts)
 
 
@@ -182,6 +183,65 @@ def _(ws):
     return result
 
 
+def _report(ws, target: str):
+    return ws.keep(f"report-{target}", lambda: data_report(_features(ws), target, new_path(ws.spark, "report")))
+
+
+REPORTED = (*NUMERIC_FEATURES, "temperature_deg_c")
+
+
+@query("q10_missing", missing_sql((*REPORTED, *TEXT_FEATURES)))
+def _(ws):
+    return _report(ws, "temperature_deg_c")["missing"]
+
+
+@query("q10_summary", _summary_sql(REPORTED, TEXT_FEATURES))
+def _(ws):
+    table = _report(ws, "temperature_deg_c")["summary"]
+    return table.withColumns({c: round_half_up(c, 6) for c in ("mean", "sd", "p0", "p25", "p50", "p75", "p100")})
+
+
+@query("q10_correlations", CORRELATION_SQL)
+def _(ws):
+    return _report(ws, "temperature_deg_c")["correlations"].withColumn("correlation", round_half_up("correlation", 6))
+
+
+def report_boxes_sql(group: str | None) -> str:
+    """Hinges, whiskers and outliers of every reported number, by a group if one is given."""
+    name, keys = (f"{group}, ", f"PARTITION BY {group}") if group else ("", "")
+    parts = []
+    for c in REPORTED:
+        hinges = ", ".join(f"QUANTILE_CONT(x, {q}) OVER ({keys}) AS {n}" for n, q in (("lower", 0.25), ("median", 0.5), ("upper", 0.75)))
+        inside = "x BETWEEN lower - 1.5 * (upper - lower) AND upper + 1.5 * (upper - lower)"
+        parts.append(
+            f"SELECT '{c}' AS feature, {name}COUNT(*) AS n, {rounded('ANY_VALUE(lower)', 6)} AS lower, {rounded('ANY_VALUE(median)', 6)} AS median, "
+            f"{rounded('ANY_VALUE(upper)', 6)} AS upper, {rounded(f'MIN(x) FILTER ({inside})', 6)} AS whisker_low, {rounded(f'MAX(x) FILTER ({inside})', 6)} AS whisker_high, "
+            f"COUNT(*) FILTER (NOT ({inside})) AS outliers FROM (SELECT *, {hinges} FROM (SELECT {name}CAST({c} AS DOUBLE) AS x FROM experiment_metadata WHERE {c} IS NOT NULL) a) b"
+            + (f" GROUP BY {group}" if group else "")
+        )
+    return " UNION ALL ".join(parts)
+
+
+def _rounded_boxes(table):
+    return table.withColumns({c: round_half_up(c, 6) for c in ("lower", "median", "upper", "whisker_low", "whisker_high")})
+
+
+@query("q10_boxes", report_boxes_sql(None))
+def _(ws):
+    return _rounded_boxes(_report(ws, "temperature_deg_c")["boxes"])
+
+
+@query("q10_class_boxes", report_boxes_sql("section_id"))
+def _(ws):
+    """The same report for a target of classes: box statistics by class."""
+    return _rounded_boxes(_report(ws, "section_id")["boxes"])
+
+
+@query("q10_components")
+def _(ws):
+    return _report(ws, "temperature_deg_c")["components"]
+
+
 # --- chart data --------------------------------------------------------------------------------
 
 

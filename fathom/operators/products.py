@@ -107,3 +107,36 @@ def pair_products(df: DataFrame, columns: Sequence[str], group: str | None = Non
         return found.drop("_group")
     kind = df.schema[group].dataType
     return found.select(F.col("_group").cast(kind).alias(group), "i", "j", *SUMS)
+
+
+def leading_values(correlations: DataFrame, p: int, k: int, extra: int = 5, rounds: int = 100, tolerance: float = 1e-10) -> list[float]:
+    """The ``k`` largest eigenvalues of the matrix whose upper triangle is ``i``, ``j``, ``correlation``; 1 on the diagonal.
+
+    Subspace iteration: a pass multiplies the stored pairs with a few vectors, which are all that travels. A
+    missing correlation counts as 0.
+    """
+    width = min(p, k + extra)
+    vectors = np.linalg.qr(np.random.default_rng(1).normal(size=(p, width)))[0]
+    pairs = correlations.where("correlation IS NOT NULL").select("i", "j", F.col("correlation").cast("double"))
+    before = np.full(min(k, p), np.inf)
+    for _ in range(rounds):
+
+        def multiply(batches, vectors=vectors):
+            total = np.zeros((p, width))
+            for batch in batches:
+                i, j, c = (batch.column(n).to_numpy(zero_copy_only=False) for n in range(3))
+                np.add.at(total, i, c[:, None] * vectors[j])
+                np.add.at(total, j, c[:, None] * vectors[i])
+            flat = total.ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int64()), pa.array(flat)], ["at", "v"])
+
+        found = pairs.mapInArrow(multiply, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+        made = vectors.copy().ravel()
+        made[found["at"].to_numpy()] += found["v"].to_numpy()
+        made = made.reshape(p, width)
+        values = np.sort(np.linalg.eigvalsh(vectors.T @ made))[::-1][: min(k, p)]
+        vectors = np.linalg.qr(made)[0]
+        if np.abs(values - before).max() < tolerance * p:
+            break
+        before = values
+    return [float(v) for v in values]

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.columns import as_doubles, long_cells, names_sql, numeric_columns, text_columns
 from ..operators.chartdata import box_statistics, histograms
-from ..operators.profile import column_summary, correlations, missing_profile
+from ..operators.products import leading_values
+from ..operators.profile import column_summary, correlation_matrix, correlations, missing_profile
+from ..session import materialise
 
 
 def principal_components(df: DataFrame, columns: list[str], k: int = 2) -> DataFrame:
-    """Share of variance of the leading components of the standardised complete rows."""
+    """Share of variance of the leading components of the standardised complete rows.
+
+    From the correlations of all pairs, by blocks of columns; no matrix of all columns comes to the driver.
+    """
     complete = as_doubles(df, columns).dropna()
-    vectors = VectorAssembler(inputCols=columns, outputCol="_v").transform(complete)
-    scaled = StandardScaler(inputCol="_v", outputCol="_s", withMean=True).fit(vectors).transform(vectors)
-    model = PCA(k=min(k, len(columns)), inputCol="_s", outputCol="_p").fit(scaled)
-    shares = [(i + 1, float(v)) for i, v in enumerate(model.explainedVariance)]
+    table = materialise(correlation_matrix(complete, columns), "correlations")
+    place = F.array(*[F.lit(c) for c in columns])
+    pairs = table.select(*[(F.array_position(place, F.col(v)) - 1).cast("int").alias(n) for v, n in (("x", "i"), ("y", "j"))], "correlation")
+    values = leading_values(pairs, len(columns), k)
+    shares = [(i + 1, v / len(columns)) for i, v in enumerate(values)]
     return df.sparkSession.createDataFrame(shares, "component int, share double")
 
 

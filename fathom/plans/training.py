@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.columns import quoted
 from ..operators.explain import importance_summary, permutation_importance
-from ..operators.metrics import leaderboard_long, regression_metrics
-from ..operators.models import PREDICTED, Search, save_search, search
+from ..operators.metrics import leaderboard_long, performance_pack, regression_metrics
+from ..operators.models import PREDICTED, Search, class_levels, probability_name, save_search, search
 from ..operators.resample import random_split
 from ..session import materialise
 from .features import FeatureRecipe, fit_features
@@ -49,3 +52,50 @@ def train_regression(
         recipe, found, held, regression_metrics(scored, outcome, PREDICTED),
         leaderboard_long(found.leaderboard.where("state = 'fitted'").drop("position", "state"), found.order_by), importance, save_search(found, path, keep),
     )
+
+
+@dataclass
+class ClassTrainingResult:
+    recipe: FeatureRecipe
+    search: Search
+    test: DataFrame
+    leaderboard: DataFrame
+    thresholds: DataFrame
+    gains: DataFrame
+    importance: DataFrame
+    saved: list[str]
+
+
+def train_classification(
+    table: DataFrame, outcome: str, key: str, path: str, ratio: float = 0.85, nfolds: int = 10,
+    budget_seconds: float | None = None, correlation: float = 0.09, fit_on: str = "train", keep: int = 15, candidates=None,
+    importance_repeats: int = 10, max_models: int = 3,
+) -> ClassTrainingResult:
+    """The job for a target of two classes: recipe, search by folds, threshold and gain tables of the best models
+    on the test rows, saved models, and what permuting a feature does to the second class's probability.
+
+    Rows without a target take part once the recipe has imputed it.
+    """
+    train, test = random_split(table, key, ratio)
+    recipe = fit_features(train if fit_on == "train" else table, outcome, key, correlation=correlation)
+    chosen = recipe.selected
+    ready = recipe.training if fit_on == "train" else materialise(recipe.apply(train), "train")
+    held = materialise(recipe.apply(test), "test")
+    labels = class_levels(ready, outcome)
+    if len(labels) != 2:
+        raise ValueError(f"{outcome} has {len(labels)} classes, not two")
+    found = search(ready, outcome, chosen, key, nfolds, budget_seconds, candidates)
+    positive = probability_name(labels[1])
+    truth = (quoted(outcome) == F.lit(labels[1])).cast("int").alias("truth")
+    scored = [
+        model.transform(held).select(F.lit(name).alias("model_id"), truth, quoted(positive).alias("score"))
+        for name, model in found.models.items()
+    ]
+    scored = materialise(reduce(DataFrame.unionByName, scored), "scored")
+    thresholds, gains = performance_pack(scored, "auc", max_models)
+    flagged = held.withColumn("_flag", truth.cast("double"))
+    importance = permutation_importance(found.leader, flagged, chosen, "_flag", key, importance_repeats, output=positive)
+    board = leaderboard_long(found.leaderboard.where("state = 'fitted'").drop("position", "state"), found.order_by)
+    return ClassTrainingResult(
+        recipe, found, held, board, thresholds, gains, importance_summary(importance), save_search(found, path, keep)
+    )
