@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import round_half_up
 from ..functions.text import clean_names
-from ..plans.collate import analysis_table, climatology_with_metadata, enrich, store
+from ..plans.collate import analysis_table, climatology_with_metadata, enrich, export_csv, store
 from ..plans.features import (
     box_by_taxon, classification_table, regression_table, shares_by_depth, taxa_with_metadata,
 )
 from ..plans.views import cruise_links, filtered_view, key_figures, map_points, species_hexagons, static_map
 from ..session import new_path
+from ..sources.tables import read_csv
 from .profiling import box_sql, rounded_box
 from .registry import number_sql, percent_sql, query, rounded
 from .relational import FILTER, FILTER_SQL, KEY_FIGURES_SQL, LINKS_SQL, hexagon_sql
@@ -49,6 +50,28 @@ def _(ws):
     return enrich(ws.collated, ws.climate_province(), csv_path=None)
 
 
+def _exported(ws):
+    def build():
+        climate = ws.climate_province()
+        return climate.schema, export_csv(ws.samples, climate, new_path(ws.spark, "export"))
+
+    return ws.keep("exported", build)
+
+
+@query("k2_csv_composite", "SELECT * FROM sample_taxa")
+def _(ws):
+    """The first export, read back."""
+    _, paths = _exported(ws)
+    return read_csv(ws.spark, paths["composite"], ws.samples.schema)
+
+
+@query("k2_csv_climatology", "SELECT * FROM climate_province")
+def _(ws):
+    """The second export, read back."""
+    schema, paths = _exported(ws)
+    return read_csv(ws.spark, paths["climatology"], schema)
+
+
 @query("k3_store", "SELECT section_id, COUNT(*) AS n, MIN(col_date) AS first_day, MAX(col_date) AS last_day FROM sample_taxa GROUP BY section_id")
 def _(ws):
     paths = {"samples": new_path(ws.spark, "samples"), "versions": new_path(ws.spark, "versions")}

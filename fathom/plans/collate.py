@@ -107,6 +107,10 @@ def collate(
     return left_join(df, sheet.drop("sheet_run"), {"experiment_accession": "sheet_experiment"})
 
 
+# Names of the exported files by level: fixed values.
+LEVEL_FILES = {"family": "allfam", "species": "allspecies"}
+
+
 def wide_climatology(tables: Sequence[DataFrame], variables: Sequence[str] = CLIMATOLOGY_VARIABLES) -> DataFrame:
     """The climatology tables one below the other, then one column per variable."""
     united = bind_rows(*[t.select("library_id", "variable", "value") for t in tables])
@@ -134,6 +138,14 @@ def enrich(collated: DataFrame, climatology: DataFrame, csv_path: str | None = N
     return result
 
 
+def export_csv(enriched: DataFrame, climatology: DataFrame, folder: str, level: str = "family") -> dict[str, str]:
+    """The enriched table of a level and the wide climatology with its provinces as CSV; where each went."""
+    paths = {"composite": f"{folder}/marine_composite_{LEVEL_FILES[level]}", "climatology": f"{folder}/darwin_bound_wide_longhurst"}
+    write_csv(enriched, paths["composite"])
+    write_csv(climatology, paths["climatology"])
+    return paths
+
+
 def clean_metadata(metadata: DataFrame) -> DataFrame:
     """The metadata columns of interest under short names, with the collection date parsed."""
     return (
