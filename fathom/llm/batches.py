@@ -1,6 +1,7 @@
 """Arrow batches: new columns from a text column, and views of a text column as bytes.
 
-Spark hands a Python task Arrow batches of many rows. ``pieces`` cuts a batch into runs of whole
+Spark hands a Python task Arrow batches of many rows. ``add_columns`` works on them some megabytes at a time,
+so that what a task holds does not follow the length of the texts. ``pieces`` cuts a batch into runs of whole
 rows of about a megabyte, so that the arrays made from a piece stay small whatever a batch holds;
 a single longer text is a piece of its own.
 """
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 PIECE_BYTES = 1 << 20
+BATCH_BYTES = 1 << 22
 
 
 def add_columns(
@@ -31,14 +33,21 @@ def add_columns(
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in _parts(whole):
                 columns = [column_of(batch, n) for n in names]
                 yield pa.RecordBatch.from_arrays(columns + make(batch), names + new.fieldNames())
 
     return df.mapInArrow(run, T.StructType([*kept, *new.fields]))
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about ``BATCH_BYTES``; none of an empty one."""
+    step = max(1, batch.num_rows * BATCH_BYTES // max(batch.nbytes, BATCH_BYTES))
+    for low in range(0, batch.num_rows, step):
+        yield batch.slice(low, step)
+
+
 def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

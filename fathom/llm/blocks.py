@@ -22,7 +22,8 @@ from fathom.session import materialise
 from .batches import column_of
 
 BINS = 1024
-BLOCK_ROWS = 512
+BLOCK_ROWS = 1024
+_TOGETHER = 8
 _KINDS = {"bigint": pa.int64(), "binary": pa.binary()}
 
 
@@ -31,8 +32,11 @@ def bin_counts(members: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((members >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8)
 
 
-def _likely(rows: list[tuple], similarity: float) -> list[tuple]:
-    """Pairs of one meeting (two blocks, side 0 and 1, or one block, side 2) that the bounds leave open."""
+def _likely(rows: list[tuple], similarity: float, forest: bool) -> list[tuple]:
+    """Pairs of one meeting (two blocks, side 0 and 1, or one block, side 2) that the bounds leave open.
+
+    For a ``forest`` a pair counts as linked at once, so that later pairs of the same two classes are left out.
+    """
     rows = sorted(rows, key=lambda r: r[0])
     side, key, root, n, kin, far, bins = zip(*rows)
     ids: dict = {}
@@ -41,6 +45,7 @@ def _likely(rows: list[tuple], similarity: float) -> list[tuple]:
         return []
     n, kin, far = np.array(n), np.array(kin), np.array(far)
     counts = np.stack([np.frombuffer(b, np.uint8) for b in bins]).astype(np.int16)
+    coarse = counts.reshape(len(rows), -1, _TOGETHER).sum(axis=2, dtype=np.int16)
     within = side[0] == 2
     ahead = len(rows) if within else side.count(0)
     out = []
@@ -50,9 +55,16 @@ def _likely(rows: list[tuple], similarity: float) -> list[tuple]:
         needed = similarity * (n[j] + n[i]) / (1 + similarity)
         keep = np.minimum(n[j], n[i]) >= needed - 1e-9
         j, needed = j[keep], needed[keep]
-        if len(j):
-            apart = np.abs(counts[j] - counts[i]).sum(axis=1)
-            out += [(key[i], key[k]) for k in j[apart <= n[j] + n[i] - 2 * needed + 1e-6].tolist()]
+        most = n[j] + n[i] - 2 * needed + 1e-6
+        for c in (coarse, counts):
+            if len(j):
+                near = np.abs(c[j] - c[i]).sum(axis=1) <= most
+                j, most = j[near], most[near]
+        if forest and len(j):
+            others, first = np.unique(group[j], return_index=True)
+            j = j[first]
+            group[np.isin(group, others)] = group[i]
+        out += [(key[i], key[k]) for k in j.tolist()]
     return out
 
 
@@ -69,9 +81,12 @@ def _blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed.withColumn("cell", F.pmod(spread, F.col("cells")).cast("int")).drop("cells"), cells
 
 
-def likely_pairs(rows: DataFrame, bins: DataFrame, similarity: float) -> DataFrame:
+def likely_pairs(rows: DataFrame, bins: DataFrame, similarity: float, forest: bool = False) -> DataFrame:
     """Distinct pairs ``a``, ``b`` of different classes that share a bucket and may have ``similarity``.
 
+    With ``forest`` only as many pairs of a meeting as would make its likely classes one: no more than its
+    rows. A caller unites what these prove before it asks for all pairs, which are few by then.
+
     ``rows`` has ``bucket``, ``key``, ``root`` (the class), ``n_shingles`` and the marks ``kin`` and ``far``: no
     row that is kin is linked to one that is far in the same bucket. ``bins`` has the ``bin_counts`` of every key.
     """
@@ -94,7 +109,7 @@ def likely_pairs(rows: DataFrame, bins: DataFrame, similarity: float) -> DataFra
     kind = rows.schema["key"].dataType.simpleString()
 
     def pairs(held: list[tuple]) -> list[pa.RecordBatch]:
-        found = _likely(held, similarity) if len(held) > 1 else []
+        found = _likely(held, similarity, forest) if len(held) > 1 else []
         return [pa.RecordBatch.from_arrays([pa.array(x, _KINDS[kind]) for x in zip(*found)], ["a", "b"])] if found else []
 
     def run(batches):

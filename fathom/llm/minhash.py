@@ -14,10 +14,9 @@ One minus the similarity is a metric, so a text far from the leader (below 2 * `
 linked to none of the leader's copies; one nearer that is rejected is compared with further leaders.
 
 Links become classes by connected components. Buckets whose texts are still of several classes are
-then compared in full: every pair of different classes that the leader does not rule out, in blocks of
-bounded size. Two blocks of one class never meet, so a bucket that is nearly one class costs little more
-than its rows; a bucket of many classes that needs too many pairs of blocks is dealt out by further
-sketches first. What a leader settles saves work only; it decides no pair.
+then compared in full (``blocks``): every pair of different classes that the leader or counts of shingles
+per bin do not rule out. A pair is aligned once at most, however many buckets its texts share. What a
+leader settles saves work only; it decides no pair.
 """
 
 from __future__ import annotations
@@ -32,6 +31,7 @@ from pyspark.sql import functions as F
 from fathom.session import materialise
 
 from .batches import add_columns, column_of, list_array, pieces
+from .blocks import bin_counts, likely_pairs
 from .store import components, fresh
 from .words import find_words, mix, occurrence_labels, row_shingles, sequence_hashes
 
@@ -40,11 +40,6 @@ SIMILARITY = 0.8
 SKETCHES = 14
 PER_SKETCH = 3
 LEADERS = 4
-BLOCK_ROWS = 256
-BLOCK_SHINGLES = 1 << 18
-BLOCK_PAIRS = 64
-_DEALS = 6
-_BINS = 1024
 _TURNS = np.random.default_rng(9).integers(1, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -126,10 +121,10 @@ def sketched(texts: DataFrame, text: str, sketches: int, per_sketch: int, length
 
 def _with_shingles(texts: DataFrame, length: int) -> DataFrame:
     def make(batch: pa.RecordBatch) -> list:
-        rows = [r.tobytes() for r in _shingle_rows(column_of(batch, "text"), length)]
-        return [pa.array(rows, pa.binary())]
+        rows = [(r.tobytes(), bin_counts(r).tobytes()) for r in _shingle_rows(column_of(batch, "text"), length)]
+        return [pa.array(column, pa.binary()) for column in zip(*rows)]
 
-    return add_columns(texts, "shingles binary", make).select("key", "shingles")
+    return add_columns(texts, "shingles binary, bins binary", make).select("key", "shingles", "bins")
 
 
 def _scored(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
@@ -147,6 +142,10 @@ def _scored(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
     return materialise(add_columns(joined, "score double", make, without=("one", "two")), "scores")
 
 
+def _edges(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b"))
+
+
 def _shared(buckets: DataFrame) -> DataFrame:
     """Rows of buckets that hold more than one text, with ``weight``: how widely a text's buckets are shared."""
     sizes = materialise(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
@@ -174,117 +173,6 @@ def _open(rows: DataFrame) -> DataFrame:
     return materialise(rows.join(state, "bucket").where("NOT kin OR middle > 0").drop("middle"), "open")
 
 
-def _blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``rows`` with their block (``owner``, ``cell``), and all blocks. A class too large for one block has its own."""
-    none = F.lit(b"")
-    cost = F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n_shingles") / BLOCK_SHINGLES)
-    classes = materialise(rows.groupBy("bucket", "root").agg(cost.alias("cost")), "bucket-classes")
-    whole = classes.withColumn("owner", F.when(F.col("cost") > 1, F.col("root")).otherwise(none))
-    cells = materialise(whole.groupBy("bucket", "owner").agg(F.ceil(F.sum("cost")).cast("int").alias("cells")), "cells")
-    own = classes.where("cost > 1").select("bucket", "root", F.col("root").alias("owner"))
-    placed = rows.join(own, ["bucket", "root"], "left").withColumn("owner", F.coalesce("owner", none)).join(cells, ["bucket", "owner"])
-    spread = F.xxhash64(F.when(F.col("owner") == none, F.col("root")).otherwise(F.col("key")))
-    placed = placed.withColumn("cell", F.pmod(spread, F.col("cells")).cast("int")).drop("cells")
-    return placed, cells
-
-
-def _linked_in(rows: list[tuple], similarity: float) -> list[tuple[bytes, bytes]]:
-    """Linked pairs of different classes in one pair of blocks (side 0 and 1) or inside one block (side 2)."""
-    rows = sorted(rows, key=lambda r: r[0])
-    side, key, root, kin, far, raw = zip(*rows)
-    side, kin, far = np.array(side), np.array(kin), np.array(far)
-    texts = [np.frombuffer(r, np.uint64) for r in raw]
-    n = np.array([len(t) for t in texts])
-    _, group = np.unique(np.array([r.hex() for r in root]), return_inverse=True)
-    bins = np.stack([np.bincount((t >> np.uint64(40)).astype(np.int64) % _BINS, minlength=_BINS) for t in texts]).astype(np.int32)
-    ahead = int((side == 0).sum())
-    out = []
-    for i in range(len(rows) if side[0] == 2 else ahead):
-        j = np.arange(i + 1 if side[0] == 2 else ahead, len(rows))
-        j = j[(group[j] != group[i]) & ~(kin[j] & far[i]) & ~(far[j] & kin[i])]
-        needed = similarity * (n[j] + n[i]) / (1 + similarity)
-        keep = np.minimum(n[j], n[i]) >= needed - 1e-9
-        j, needed = j[keep], needed[keep]
-        # Counts per bin differ by no more than the shingles that an alignment leaves unmatched.
-        j = j[np.abs(bins[j] - bins[i]).sum(axis=1) <= n[j] + n[i] - 2 * needed + 1e-6]
-        for k in j.tolist():
-            if group[k] != group[i] and aligned(texts[i], texts[k], similarity) > 0:
-                out.append((key[i], key[k]))
-                group[group == group[k]] = group[i]
-    return out
-
-
-def _links_in_blocks(rows: DataFrame, cells: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """Links between different classes, every pair of blocks compared that may hold one."""
-    blocks = cells.select("bucket", "owner", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
-    one, two = (blocks.select("bucket", F.struct("owner", "cell").alias(x)) for x in ("one", "two"))
-    meet = one.join(two, "bucket").where("one <= two AND (one.owner <> two.owner OR one.owner = X'')")
-    meet = meet.withColumn("meeting", F.xxhash64("bucket", "one", "two"))
-    sides = F.expr(
-        "IF(one = two, array(struct(2 AS side, one AS block)), array(struct(0 AS side, one AS block), struct(1 AS side, two AS block)))"
-    )
-    sides = meet.select("bucket", "meeting", F.inline(sides)).select("bucket", "meeting", "side", "block.owner", "block.cell")
-    seats = rows.join(sides, ["bucket", "owner", "cell"]).join(shingles, "key")
-    seats = seats.select("bucket", "meeting", "side", "key", "root", "kin", "far", "shingles")
-    seats = seats.repartition("bucket", "meeting").sortWithinPartitions("bucket", "meeting")
-    names = ["side", "key", "root", "kin", "far", "shingles"]
-
-    def run(batches):
-        held, now = [], None
-        for batch in batches:
-            marks = zip(column_of(batch, "bucket").to_pylist(), column_of(batch, "meeting").to_pylist())
-            links = []
-            for mark, row in zip(marks, zip(*(column_of(batch, n).to_pylist() for n in names))):
-                if mark != now:
-                    links += _linked_in(held, similarity) if len(held) > 1 else []
-                    held, now = [], mark
-                held.append(row)
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*links)], ["a", "b"])
-        links = _linked_in(held, similarity) if len(held) > 1 else []
-        if links:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*links)], ["a", "b"])
-
-    return materialise(seats.mapInArrow(run, "a binary, b binary"), "block-links")
-
-
-def _dealt(rows: DataFrame, shingles: DataFrame, deal: int, sketches: int, per_sketch: int) -> DataFrame:
-    """The rows of each bucket dealt to finer ones by sketches that no earlier deal used."""
-
-    def make(batch: pa.RecordBatch) -> list:
-        found = [
-            order_sketches(np.frombuffer(r.as_buffer(), np.uint64), sketches * (deal + 1), per_sketch)[sketches * deal :]
-            for r in column_of(batch, "shingles")
-        ]
-        values = np.concatenate(found).astype(np.uint64).view(np.int64)
-        return [list_array(values, np.array([len(f) for f in found]), pa.int64())]
-
-    keys = rows.select("key").distinct()
-    fresh_sketches = materialise(add_columns(shingles.join(keys, "key"), "sketch array<long>", make, without=("shingles",)), "deal")
-    finer = rows.join(fresh_sketches, "key").withColumn("sketch", F.explode("sketch"))
-    return finer.withColumn("bucket", F.xxhash64("bucket", "sketch")).drop("sketch")
-
-
-def _links_left(rows: DataFrame, shingles: DataFrame, similarity: float, sketches: int, per_sketch: int) -> list[DataFrame]:
-    """Links between classes in ``rows``: bucket, key, n_shingles, root, and ``kin`` or ``far`` by the leader's score."""
-    links, deals = [], min(_DEALS, len(_TURNS) // (2 * sketches) - 1)
-    for deal in range(1, deals + 2):
-        rows = _open(rows)
-        if rows.isEmpty():
-            break
-        placed, cells = _blocks(rows)
-        mine = F.when(F.col("owner") == F.lit(b""), F.lit(0)).otherwise(F.col("cells") * (F.col("cells") + 1) / 2)
-        work = cells.groupBy("bucket").agg(F.sum("cells").alias("n"), F.sum(mine).alias("own"))
-        work = work.where(f"n * (n + 1) / 2 - own > greatest({BLOCK_PAIRS}, 4 * n)").select("bucket")
-        heavy = materialise(work if deal <= deals else work.limit(0), "heavy")
-        light = cells.join(heavy, "bucket", "left_anti")
-        links.append(_links_in_blocks(placed, light, shingles, similarity))
-        if heavy.isEmpty():
-            break
-        rows = _dealt(rows.join(heavy, "bucket", "left_semi"), shingles, deal, sketches, per_sketch)
-    return links
-
-
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -332,20 +220,22 @@ def near_duplicates(
     tested = materialise(tested.select("bucket", "key", "n_shingles", "score"), "tested")
     # Near enough to be linked to a copy of the leader: further leaders.
     further = against(tested.where(~linked & (F.col("score") > 0)), heads.where("turn > 1"))
-    more = further.where(near).select("key", "leader").distinct().join(scores.select("key", "leader"), ["key", "leader"], "left_anti")
-    links = [scores.where(linked), _scored(more, shingles, least).where(linked)]
-    links = [x.select(F.col("key").alias("a"), F.col("leader").alias("b")) for x in links]
-    edges = links[0].unionByName(links[1])
+    more = _edges(further.where(near)).distinct().join(_edges(scores), ["a", "b"], "left_anti")
+    more = materialise(more.select(F.col("a").alias("key"), F.col("b").alias("leader")), "further")
+    scores = scores.unionByName(_scored(more, shingles, least).select(scores.columns))
+    edges = _edges(scores.where(linked))
     roots = components(edges)
     # The leader itself is done with: its bucket was scored against it.
     rows = tested.join(roots, tested["key"] == roots["node"], "left").select(
         "bucket", "key", "n_shingles", F.coalesce("root", "key").alias("root"), linked.alias("kin"), (F.col("score") == 0).alias("far")
     )
-    left = _links_left(rows, shingles, similarity, sketches, per_sketch)
-    for found in left:
-        edges = edges.unionByName(found)
-    if left:
-        roots = components(edges)
+    rows = _open(rows)
+    if not rows.isEmpty():
+        pairs = likely_pairs(rows, shingles, similarity).join(_edges(scores).distinct(), ["a", "b"], "left_anti")
+        pairs = materialise(pairs.select(F.col("b").alias("key"), F.col("a").alias("leader")), "pairs")
+        found = _scored(pairs, shingles, similarity).where(linked)
+        if not found.isEmpty():
+            roots = components(edges.unionByName(_edges(found)))
     member = marked.select("doc_id", "key")
     whole = texts.join(roots, texts["key"] == roots["node"], "left").select(
         texts["key"].alias("key"), texts["doc_id"].alias("first_id"), F.coalesce("root", texts["key"]).alias("root")
@@ -366,11 +256,13 @@ def near_duplicates(
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` marks as kept, one of rows equal in number and text."""
+    """The rows of ``docs`` that ``near_duplicates`` marks as kept; of rows equal in number and text the
+    one whose other columns (but maps) come first in order."""
     chosen = near_duplicates(docs, doc_id, text, **options).where("kept")
     kept = materialise(chosen.select(F.col("key").alias("k"), F.col("doc_id").alias("d")).distinct(), "kept")
     key = fresh(docs, "text_key")
     marked = docs.withColumn(key, F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
-    return marked.join(kept, (F.col(key) == F.col("k")) & F.col(doc_id).eqNullSafe(F.col("d")), "left_semi").dropDuplicates(
-        [key, doc_id]
-    ).select(docs.columns)
+    marked = marked.join(kept, (F.col(key) == F.col("k")) & F.col(doc_id).eqNullSafe(F.col("d")), "left_semi")
+    others = [f.name for f in docs.schema if f.name not in (doc_id, text) and "map<" not in f.dataType.simpleString()]
+    row, order = F.struct(*docs.columns), F.struct(F.lit(0), *others)
+    return marked.groupBy(key, doc_id).agg(F.min_by(row, order).alias("row")).select("row.*")

@@ -4,7 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from fathom.llm import minhash
+from fathom.llm import blocks, minhash
 from fathom.llm.minhash import aligned, keep_first, labelled, near_duplicates
 from fathom.llm.store import components
 from fathom.llm.words import find_words, occurrence_labels, row_shingles
@@ -101,13 +101,19 @@ def test_family_at_the_threshold_equals_brute_force(make):
     assert got == brute_classes(rows)
 
 
-@pytest.mark.parametrize("pairs", [64, 0])
-def test_small_blocks_and_deals_lose_no_link(make, monkeypatch, pairs):
-    monkeypatch.setattr(minhash, "BLOCK_ROWS", 8)
-    monkeypatch.setattr(minhash, "BLOCK_PAIRS", pairs)
+def test_small_blocks_lose_no_link_and_no_pair_is_aligned_twice(make, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 8)
+    seen, scored = [], minhash._scored
+
+    def counted(pairs, *rest):
+        seen.extend(frozenset((bytes(r.key), bytes(r.leader))) for r in pairs.collect())
+        return scored(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "_scored", counted)
     rows = family(100)
     got = {r.doc_id: r.class_id for r in near_duplicates(make(rows)).collect()}
     assert got == brute_classes(rows)
+    assert len(seen) == len(set(seen)) and all(len(p) == 2 for p in seen)
 
 
 def test_hot_group_of_near_copies(make):
