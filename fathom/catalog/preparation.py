@@ -15,6 +15,7 @@ from ..plans.features import classification_table, fit_features, regression_tabl
 from ..session import materialise, new_path
 from .composites import SPECIES, TAXA
 from .registry import query, rounded
+from .standins import TARGET_FAMILY
 
 ROWS_SQL = (
     "(SELECT m.library_id, m.latitude_decimal_deg_n AS lat, m.longitude_decimal_deg_w AS lon, m.depth_m AS depth, m.section_id, "
@@ -230,7 +231,7 @@ def _(ws):
 
 def class_table(ws):
     return ws.keep(
-        "class_table", lambda: materialise(classification_table(ws.samples, TAXA, SPECIES, keep_id=True), "class-table")
+        "class_table", lambda: materialise(classification_table(ws.samples, TAXA, SPECIES, TARGET_FAMILY, keep_id=True), "class-table")
     )
 
 
