@@ -23,7 +23,6 @@ from .batches import column_of
 
 BINS = 1024
 BLOCK_ROWS = 1024
-_TOGETHER = 8
 _KINDS = {"bigint": pa.int64(), "binary": pa.binary()}
 
 
@@ -45,7 +44,7 @@ def _likely(rows: list[tuple], similarity: float, forest: bool) -> list[tuple]:
         return []
     n, kin, far = np.array(n), np.array(kin), np.array(far)
     counts = np.stack([np.frombuffer(b, np.uint8) for b in bins]).astype(np.int16)
-    coarse = counts.reshape(len(rows), -1, _TOGETHER).sum(axis=2, dtype=np.int16)
+    marks = np.packbits(counts > 0, axis=1).view(np.uint64)
     within = side[0] == 2
     ahead = len(rows) if within else side.count(0)
     out = []
@@ -56,10 +55,11 @@ def _likely(rows: list[tuple], similarity: float, forest: bool) -> list[tuple]:
         keep = np.minimum(n[j], n[i]) >= needed - 1e-9
         j, needed = j[keep], needed[keep]
         most = n[j] + n[i] - 2 * needed + 1e-6
-        for c in (coarse, counts):
-            if len(j):
-                near = np.abs(c[j] - c[i]).sum(axis=1) <= most
-                j, most = j[near], most[near]
+        # A bin that only one of the two uses holds a member that only one of them has.
+        near = np.bitwise_count(marks[j] ^ marks[i]).sum(axis=1) <= most
+        j, most = j[near], most[near]
+        if len(j):
+            j = j[np.abs(counts[j] - counts[i]).sum(axis=1) <= most]
         if forest and len(j):
             others, first = np.unique(group[j], return_index=True)
             j = j[first]

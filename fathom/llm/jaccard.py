@@ -14,14 +14,16 @@ the candidates:
   frequent shingle do not meet. Classes get more as sets get larger, so signatures stay in proportion; a
   set uses the classes of each size level that a partner may have.
 
-Linked sets share a signature. In each bucket of a signature all sets are compared with one leader; what is
-left are buckets with sets of different classes, which meet in blocks (``blocks``). Every candidate is
-verified on the whole sets, once. Shingles are compared by 64-bit hashes.
+Linked sets share a signature. The sets of a signature's bucket meet in blocks (``blocks``) that see bounds
+only: first for just as many pairs as may make large families one, whose links become classes, then for all
+pairs of classes that are still apart. Every candidate is verified on the whole sets, once. Shingles are
+compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,8 @@ from .words import PLAIN, find_words, mix, row_shingles, sequence_hashes
 PERCENT = 90
 SHINGLE_WORDS = 3
 EXTENSION = 48
-RARE = 16
-CLASS_TOKENS = 8
+RARE = 64
+CLASS_TOKENS = 4
 
 _CODES = np.arange(256)
 #: Words between ASCII white space, A to Z as a to z.
@@ -149,7 +151,7 @@ def _described(rows: DataFrame, length: int, bounds: Bounds) -> DataFrame:
 
 
 def _signed(shared: DataFrame, bounds: Bounds) -> DataFrame:
-    """``node``, ``n_shingles`` and one row per signature (``bucket``)."""
+    """``node``, ``n_shingles``, and one row per signature (``bucket``)."""
 
     def make(batch: pa.RecordBatch) -> list:
         found, held = [], column_of(batch, "shared")
@@ -200,6 +202,23 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialise(scored.where("linked").select("a", "b"), "links")
 
 
+def _placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with ``root``, the class of their node."""
+    known = roots.select(F.col("node").alias("k"), F.col("root").alias("r"))
+    return rows.join(known, F.col("node") == F.col("k"), "left").withColumn("root", F.coalesce("r", "node")).drop("k", "r")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one class."""
+    classes = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return materialise(rows.join(classes.select("bucket"), "bucket"), "mixed")
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    no = F.lit(False)
+    return rows.select("bucket", F.col("node").alias("key"), "root", "n_shingles", no.alias("kin"), no.alias("far"))
+
+
 def jaccard_components(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -230,29 +249,26 @@ def jaccard_components(
     shared = shared.agg(F.collect_list(F.struct("frequency", "token")).alias("shared"))
     signed = materialise(_signed(shared, bounds), "signatures")
 
-    heads = signed.groupBy("bucket").agg(
-        F.min(F.struct("node", F.col("n_shingles").alias("n"))).alias("head"), F.count("*").alias("rows")
-    )
-    led = signed.join(heads.where("rows > 1"), "bucket").where("node <> head.node")
-    led = materialise(led.select("bucket", "node", "n_shingles", "head", "rows"), "led")
-    near = F.least("n_shingles", "head.n") * 100 >= percent * F.greatest("n_shingles", "head.n")
-    tested = materialise(led.where(near).select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    met = tested.select(F.col("a").alias("node")).union(led.select("node")).distinct()
-    sets = _whole_sets(rows, nodes.join(met, "node", "left_semi"), length)
-    links = _links(tested, sets, percent)
-    roots = components(links)
-
-    # A leader has met all of its bucket.
-    no = F.lit(False)
-    rest = led.where("rows > 2").join(roots.withColumnRenamed("node", "key"), F.col("node") == F.col("key"), "left")
-    rest = rest.select("bucket", F.col("node").alias("key"), "n_shingles", F.coalesce("root", "node").alias("root"))
-    mixed = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    rest = materialise(rest.join(mixed.select("bucket"), "bucket").withColumns({"kin": no, "far": no}), "rest")
+    sizes = signed.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1")
+    rest = materialise(signed.join(sizes, "bucket").drop("rows").withColumn("root", F.col("node")), "shared")
+    sets = _whole_sets(rows, nodes.join(rest.select("node").distinct(), "node", "left_semi"), length)
+    tested, links, roots = [], [], rest.select("node", "root").limit(0)
+
+    def settle(pairs: DataFrame, last: bool = False) -> tuple[DataFrame, DataFrame]:
+        """Verify the pairs that are new; the classes and, unless it is the last time, the open rows after that."""
+        for known in tested:
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        tested.append(materialise(pairs, "pairs"))
+        links.append(_links(tested[-1], sets, percent))
+        if links[-1].isEmpty():
+            return roots, rest
+        found = components(reduce(DataFrame.unionByName, links))
+        return found, rest if last else _mixed(_placed(rest.drop("root"), found))
+
+    # As many pairs as may make large families one; then every pair of classes that are still apart.
+    roots, rest = settle(likely_pairs(_marked(rest), sets, percent / 100, forest=True))
     if not rest.isEmpty():
-        pairs = likely_pairs(rest, sets, percent / 100).join(tested, ["a", "b"], "left_anti")
-        more = _links(materialise(pairs, "pairs"), sets, percent)
-        if not more.isEmpty():
-            roots = components(links.unionByName(more))
+        roots, _ = settle(likely_pairs(_marked(rest), sets, percent / 100), last=True)
 
     placed = nodes.select("key", "doc_id", "late", "node").join(roots.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left")
     placed = placed.select("key", "late", F.col("doc_id").alias("first_id"), F.coalesce("root", "node").alias("root"))
