@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from fathom.operators.neighbours import Space, _assigned, _boxes, _routed, _trees
+from fathom.plans.views import map_points
 
 
 
@@ -37,3 +38,17 @@ def test_mostly_zero_features_add_up():
     widths = np.array([space.ranges[c] for c in names])
     gaps = np.abs(a[:, None] - b[None]) / widths
     assert np.allclose(found, np.nanmean(gaps, axis=2), atol=1e-11)
+
+
+def test_map_points_shuffle_once(spark):
+    rows = spark.createDataFrame(
+        [(None, "x", 0.5), (None, "y", 0.5), ("s", "z", None), ("q", "x", 0.2), ("q", "y", 0.4), ("q", "y", 0.4)],
+        "biosample_id string, taxon_name string, fraction_total_reads double",
+    ).withColumns({c: F.lit("r") for c in ("run_accession", "top1_family_name")}).withColumns(
+        {"family_number": F.lit(1), "species_number": F.lit(2), "top1_family_fraction_total_reads": F.lit(0.5)}
+    )
+    points = map_points(rows.repartition(3), 2)
+    plan = points._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1
+    found = sorted((r.biosample_id or "", r.taxon_name, r.col2string) for r in points.collect())
+    assert found == [("", "x", "x: 50%\ny: 50%\n"), ("", "y", "x: 50%\ny: 50%\n"), ("q", "y", "y: 40%\ny: 40%\n")]
