@@ -6,11 +6,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from fathom.catalog.workspace import Workspace
 from fathom.operators.neighbours import Space, _assigned, _boxes, _routed, _trees
 from fathom.plans.views import map_points
-from fathom.session import new_path
+from fathom.session import SPLIT_BYTES, TASK_BYTES, new_path
 from fathom.sources.tables import read_csv, write_csv
 
+from .conftest import FOLDER
 
 
 def test_queries_search_few_cells(spark):
@@ -43,6 +45,14 @@ def test_mostly_zero_features_add_up():
     assert np.allclose(found, np.nanmean(gaps, axis=2), atol=1e-11)
 
 
+def test_tasks_are_bounded_by_their_input(spark):
+    Workspace(spark, FOLDER)
+    size = lambda name: int(spark.conf.get(name).rstrip("b"))
+    assert size("spark.sql.adaptive.advisoryPartitionSizeInBytes") <= TASK_BYTES
+    assert size("spark.sql.files.maxPartitionBytes") <= SPLIT_BYTES
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_map_points_shuffle_once(spark):
     rows = spark.createDataFrame(
         [(None, "x", 0.5), (None, "y", 0.5), ("s", "z", None), ("q", "x", 0.2), ("q", "y", 0.4), ("q", "y", 0.4)],
