@@ -1,7 +1,7 @@
 """Arrow batches: new columns from a text column, and views of a text column as bytes.
 
-Spark hands a Python task Arrow batches of many rows. ``add_columns`` works on them some megabytes at a time,
-so that what a task holds does not follow the length of the texts. ``pieces`` cuts a batch into runs of whole
+Spark hands a Python task Arrow batches of many rows. ``add_columns`` asks for batches of few megabytes and works
+on larger ones in parts, so that what a task holds does not follow the length of the texts. ``pieces`` cuts a batch into runs of whole
 rows of about a megabyte, so that the arrays made from a piece stay small whatever a batch holds;
 a single longer text is a piece of its own.
 """
@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from fathom.session import bound_batches
+
 PIECE_BYTES = 1 << 20
 BATCH_BYTES = 1 << 22
 
@@ -27,6 +29,7 @@ def add_columns(
     Columns of ``df`` that have one of the new names, in any case, give way to the new ones; those
     in ``without`` are there for ``make`` but not returned.
     """
+    bound_batches(df.sparkSession)
     new = T._parse_datatype_string(fields)
     taken = {f.name.lower() for f in new} | {n.lower() for n in without}
     kept = [f for f in df.schema if f.name.lower() not in taken]

@@ -3,10 +3,13 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fathom.llm import jaccard
+from fathom.llm.batches import add_columns
 from fathom.llm.jaccard import Bounds, jaccard_components, signatures
+from fathom.session import ARROW_BYTES
 
 from .conftest import words
 
@@ -154,3 +157,19 @@ def test_bounds_hold_for_all_sizes():
             assert all(set(b.levels(n)) & set(b.levels(m)) for m in (sizes[0], sizes[-1]))
             for level in b.levels(n):
                 assert b.shared(n) >= b.classes(level) + 1 or b.classes(level) == 0
+
+
+def test_tasks_are_handed_small_batches(spark):
+    """op13: a batch is held several times over by a task, so its bytes are bounded, not only its rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, expected in (("64m", ARROW_BYTES), ("1m", 1 << 20)):
+            spark.conf.set(name, given)
+            docs = spark.range(600).repartition(1).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 4000) AS text")
+            add_columns(docs, "n long", lambda batch: [pa.array([0] * batch.num_rows, pa.int64())])
+            assert spark.conf.get(name) == f"{expected}b"
+            sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+            assert docs.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0] <= 1.2 * ARROW_BYTES
+    finally:
+        spark.conf.set(name, before)
