@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import reduce
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,9 @@ from pyspark.sql import functions as F
 from fathom.session import materialise
 
 from .batches import add_columns, column_of, list_array, pieces
-from .blocks import bin_counts, likely_pairs
+from .blocks import likely_pairs, parity_marks
 from .store import components
+from .suffixes import MAX_BITS, _bitmap, _marked
 from .words import PLAIN, find_words, mix, row_shingles, sequence_hashes
 
 PERCENT = 90
@@ -168,21 +170,28 @@ def _signed(shared: DataFrame, bounds: Bounds) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``key`` (the node), ``members`` (its sorted shingles) and ``bins`` of the wanted nodes."""
+    """``key`` (the node), ``members`` (its sorted shingles) and their ``parity``, for the wanted nodes.
+
+    Texts stay where they are: a bitmap of the wanted numbers goes to all tasks, sets of other texts are not made,
+    and only sets are shuffled. A number that is let through by chance has no wanted key.
+    """
+    wanted = materialise(wanted.select(F.col("key").alias("own"), "node", F.xxhash64("doc_id").alias("anchor")), "wanted")
+    bits = min(MAX_BITS, max(16, ceil(log2(16 * max(wanted.count(), 1)))))
+    bitmap = _bitmap(wanted, bits)
 
     def make(batch: pa.RecordBatch) -> list:
-        keys, members, bins = [], [], []
-        for tokens in _sets(column_of(batch, "text"), length):
-            keys.append(_key(tokens))
-            members.append(tokens.tobytes())
-            bins.append(bin_counts(tokens).tobytes())
-        return [pa.array(x, pa.binary()) for x in (keys, members, bins)]
+        hit = _marked(bitmap, column_of(batch, "anchor").to_numpy(zero_copy_only=False).view(np.uint64), bits)
+        found = [[None] * batch.num_rows for _ in range(3)]
+        for i, tokens in zip(np.flatnonzero(hit).tolist(), _sets(column_of(batch, "text").filter(pa.array(hit)), length)):
+            for values, value in zip(found, (_key(tokens), tokens.tobytes(), parity_marks(tokens).tobytes())):
+                values[i] = value
+        return [pa.array(values, pa.binary()) for values in found]
 
-    named = wanted.select(F.col("doc_id").alias("d"), F.col("key").alias("set_key"), "node")
-    rows = docs.join(named, F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "set_key", "text")
-    found = add_columns(rows, "own binary, members binary, bins binary", make, without=("text",)).where("own = set_key")
-    # A number may stand on several rows with this set.
-    return materialise(found.select(F.col("node").alias("key"), "members", "bins").dropDuplicates(["key"]), "sets")
+    rows = docs.select(F.xxhash64("doc_id").alias("anchor"), "text")
+    found = add_columns(rows, "own binary, members binary, parity binary", make, without=("anchor", "text"))
+    # A set may stand on several rows.
+    found = found.where("own IS NOT NULL").dropDuplicates(["own"]).join(wanted.select("own", "node"), "own")
+    return materialise(found.select(F.col("node").alias("key"), "members", "parity"), "sets")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -196,6 +205,8 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             linked.append(100 * common >= percent * (len(one) + len(two) - common))
         return [pa.array(linked, pa.bool_())]
 
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = sets.join(asked, "key", "left_semi")
     one = sets.select(F.col("key").alias("a"), F.col("members").alias("one"))
     two = sets.select(F.col("key").alias("b"), F.col("members").alias("two"))
     scored = add_columns(pairs.join(one, "a").join(two, "b"), "linked boolean", make, without=("one", "two"))
@@ -214,7 +225,7 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return materialise(rows.join(classes.select("bucket"), "bucket"), "mixed")
 
 
-def _marked(rows: DataFrame) -> DataFrame:
+def _unmarked(rows: DataFrame) -> DataFrame:
     no = F.lit(False)
     return rows.select("bucket", F.col("node").alias("key"), "root", "n_shingles", no.alias("kin"), no.alias("far"))
 
@@ -243,10 +254,10 @@ def jaccard_components(
     nodes = nodes.select("key", "first.*").withColumn("node", F.monotonically_increasing_id())
     nodes = materialise(nodes, "nodes")
 
-    tokens = nodes.select("node", "n_shingles", F.explode("band").alias("token"))
+    tokens = nodes.select("node", F.explode("band").alias("token"))
     frequency = tokens.groupBy("token").agg(F.count("*").alias("frequency")).where("frequency > 1")
-    shared = tokens.join(frequency, "token").groupBy("node", "n_shingles")
-    shared = shared.agg(F.collect_list(F.struct("frequency", "token")).alias("shared"))
+    shared = tokens.join(frequency, "token").groupBy("node").agg(F.collect_list(F.struct("frequency", "token")).alias("shared"))
+    shared = shared.join(nodes.select("node", "n_shingles"), "node")
     signed = materialise(_signed(shared, bounds), "signatures")
 
     sizes = signed.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1")
@@ -266,9 +277,9 @@ def jaccard_components(
         return found, rest if last else _mixed(_placed(rest.drop("root"), found))
 
     # As many pairs as may make large families one; then every pair of classes that are still apart.
-    roots, rest = settle(likely_pairs(_marked(rest), sets, percent / 100, forest=True))
+    roots, rest = settle(likely_pairs(_unmarked(rest), sets, percent / 100, forest=True))
     if not rest.isEmpty():
-        roots, _ = settle(likely_pairs(_marked(rest), sets, percent / 100), last=True)
+        roots, _ = settle(likely_pairs(_unmarked(rest), sets, percent / 100), last=True)
 
     placed = nodes.select("key", "doc_id", "late", "node").join(roots.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left")
     placed = placed.select("key", "late", F.col("doc_id").alias("first_id"), F.coalesce("root", "node").alias("root"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from fathom.session import materialise
 
 from .batches import add_columns, column_of, list_array, pieces
-from .blocks import bin_counts, likely_pairs
+from .blocks import likely_pairs, parity_marks
 from .store import components, fresh
 from .words import find_words, mix, occurrence_labels, row_shingles, sequence_hashes
 
@@ -121,10 +121,10 @@ def sketched(texts: DataFrame, text: str, sketches: int, per_sketch: int, length
 
 def _with_shingles(texts: DataFrame, length: int) -> DataFrame:
     def make(batch: pa.RecordBatch) -> list:
-        rows = [(r.tobytes(), bin_counts(r).tobytes()) for r in _shingle_rows(column_of(batch, "text"), length)]
+        rows = [(r.tobytes(), parity_marks(r).tobytes()) for r in _shingle_rows(column_of(batch, "text"), length)]
         return [pa.array(column, pa.binary()) for column in zip(*rows)]
 
-    return add_columns(texts, "shingles binary, bins binary", make).select("key", "shingles", "bins")
+    return add_columns(texts, "shingles binary, parity binary", make).select("key", "shingles", "parity")
 
 
 def _scored(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
